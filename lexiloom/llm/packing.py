@@ -116,9 +116,10 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     """(times, {size number: copies}) covering at most the demand: the linear programme's basis, rounded down."""
     k = len(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])
-    d, y = np.array(demand, float), np.zeros(k)
-    inverse = np.linalg.inv(basis)
-    for _ in range(60 * k):
+    d = np.array(demand, float)
+    shifted = d * (1 + 1e-5 * np.arange(1, k + 1) / k)  # unequal shifts, so that the simplex steps do not go in circles
+    inverse = np.diag(1 / np.diag(basis))
+    for _ in range(8 * k):  # any basis is a valid plan; more steps only make it better
         y = inverse.sum(0)  # every configuration costs one sequence
         # Unbounded knapsack over the prices, by number of items.
         best, chosen = np.zeros(capacity + 1), []
@@ -140,12 +141,16 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
             if pick[room] >= 0:
                 column[pick[room]] += 1
                 room -= sizes[pick[room]]
-        x, move = inverse @ d, inverse @ column
+        x, move = inverse @ shifted, inverse @ column
         ratio = np.where(move > 1e-9, x / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
+        if not np.isfinite(ratio[out]):
+            break
         basis[:, out] = column
-        inverse = np.linalg.inv(basis)
-    x = inverse @ d
+        row = inverse[out] / move[out]
+        inverse = inverse - np.outer(move, row)
+        inverse[out] = row
+    x = np.linalg.solve(basis, d)
     plans = [(int(np.floor(x[j] + 1e-7)), {i: round(basis[i, j]) for i in range(k) if basis[i, j] > 0.5}) for j in range(k)]
     left = list(demand)
     found = []
