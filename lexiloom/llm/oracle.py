@@ -39,12 +39,12 @@ WITH RECURSIVE w AS (
 ), s AS (
   SELECT DISTINCT doc_id, g FROM (
     SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 4 THEN [array_to_string(l, ' ')]
-      ELSE list_transform(range(1, len(l) - 2), i -> array_to_string(l[i:i+3], ' ')) END) AS g FROM w)
+      ELSE list_transform(range(1, len(l) - 2), lambda i: array_to_string(l[i:i+3], ' ')) END) AS g FROM w)
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 link AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
-reach(doc_id, at) AS (SELECT x, x FROM link UNION SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.at)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(at) FROM reach r WHERE r.doc_id = w.doc_id), w.doc_id) AS component_id
+reach(doc_id, node) AS (SELECT x, x FROM link UNION SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.node)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(node) FROM reach r WHERE r.doc_id = w.doc_id), w.doc_id) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
