@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +63,7 @@ def tiers(left: DataFrame, right: DataFrame, guard: float = 0.70) -> DataFrame:
 
 def fuzzy_prefix(left: DataFrame, right: DataFrame, prefix: int = 10, cutoff: float = 0.90) -> DataFrame:
     """Pairs with a common prefix whose matching-block ratio reaches the cutoff; the best of each left key. The ratio has no built-in."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
