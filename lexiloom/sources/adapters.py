@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEGMENT = T.StructType.fromDDL("id string, work string, passage string, seg string, `group` string, lang string, script string, text string, html string, slp1 string, structure string, chapter string, seq double, deleted boolean, annotates string, needs_review boolean")
+STRINGS = ("id", "work", "passage", "seg", "group", "lang", "script", "text", "html", "slp1", "structure", "chapter", "annotates")
+SEGMENT = T.StructType([*(T.StructField(k, T.StringType()) for k in STRINGS), T.StructField("seq", T.DoubleType()), T.StructField("deleted", T.BooleanType()), T.StructField("needs_review", T.BooleanType())])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
