@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lexiloom.plans import catalogue
+from lexiloom.plans import building, catalogue  # noqa: F401 (building registers its queries)
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver tables are not here")
