@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: IAST to SLP1, longer letters first.
 IAST_SLP1 = {"kh": "K", "gh": "G", "ch": "C", "jh": "J", "ṭh": "W", "ḍh": "Q", "th": "T", "dh": "D", "ph": "P", "bh": "B", "ai": "E", "au": "O", "ā": "A", "ī": "I", "ū": "U", "ṛ": "f", "ṝ": "F", "ḷ": "x", "ḹ": "X", "ṃ": "M", "ḥ": "H", "ṅ": "N", "ñ": "Y", "ṭ": "w", "ḍ": "q", "ṇ": "R", "ś": "S", "ṣ": "z"}
@@ -49,12 +50,12 @@ def deva_text(text: str) -> str:
     return "".join(out + ["a"] * pending)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def deva_to_iast(s: pd.Series) -> pd.Series:
     return s.map(deva_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 

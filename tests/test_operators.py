@@ -163,3 +163,22 @@ def test_publication_moves_a_pointer(spark, tmp_path):
     assert export.read_published(spark, root).count() == 5
     export.point(spark, root, "1")
     assert export.read_published(spark, root).count() == 3
+
+
+def test_transliteration(spark):
+    from lexiloom.functions import scripts as S
+
+    df = spark.createDataFrame([("dharmakṣetre kṛṣṇaḥ",), (None,)], "t string")
+    assert [r[0] for r in df.select(S.iast_to_slp1(F.col("t"))).collect()] == ["Darmakzetre kfzRaH", None]
+    assert df.select(S.slp1_to_iast(S.iast_to_slp1(F.col("t")))).first()[0] == "dharmakṣetre kṛṣṇaḥ"
+    deva = spark.createDataFrame([("धर्मक्षेत्रे कृष्णः",), (None,)], "t string")
+    assert [r[0] for r in deva.select(S.deva_to_iast("t")).collect()] == ["dharmakṣetre kṛṣṇaḥ", None]
+    mixed = spark.createDataFrame([("кaрма",), ("hоme",), ("дом",)], "t string")
+    assert [r[0] for r in mixed.select(S.unmix(F.col("t"))).collect()] == ["карма", "home", "дом"]
+
+
+def test_greedy_cover_fails_whole():
+    from lexiloom.operators import building as B
+
+    assert B.cover(["a", "b", "c"], ["ab", "c"]) == [2, 1]
+    assert B.cover(["a", "b"], ["ab", "c"]) is None and B.cover(["a", "x"], ["a"]) is None and B.cover([], []) == []
