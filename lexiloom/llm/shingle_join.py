@@ -9,10 +9,11 @@ mix is taken follows from a cost model of keys sent and chance candidates met (s
 sets get deletion neighbourhoods, large ones plain subsets.
 
 Sets that share a key are candidates. They are verified exactly, in two rounds so that a group of
-near copies does not cost all its pairs: first every set against the smallest of its key; then only
-pairs of a key that are not yet in one component, after an exact lower bound of their difference from
-folded parity sketches. Equal sets are one class throughout and need no pairs at all. Components are
-found by min-label propagation with pointer jumping over tables, never on the driver.
+near copies does not cost all its pairs: first every set against the smallest of its key and the
+next two in its key; then only pairs of a key that are not yet in one component. Before whole sets are
+compared, an exact lower bound of their difference from folded parity sketches rules most out. Equal
+sets are one class throughout and need no pairs at all. Components are found on the executors, never on
+the driver.
 
 Empty segments are not used as keys, because many sets would share them, unless a set has so few filled
 segments that the count no longer proves a match; two such sets then meet through their empty segments,
@@ -310,8 +311,29 @@ def passing(pairs: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
     return pairs.mapInArrow(kernel, "a long, b long")
 
 
-def labels(links: DataFrame) -> DataFrame:
-    """(uid, label): the smallest uid that links reach, for every uid that has a link. Min-label propagation with pointer jumping."""
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the links of one task, the smaller root on top."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in list(root)], pa.int64())], names=["uid", "label"])
+
+
+def labels(links: DataFrame, one_task: int = 200_000) -> DataFrame:
+    """(uid, label): the smallest uid that links (a written table) reach, for every uid that has a link.
+
+    Up to `one_task` counted links, one task unites them; beyond that, min-label propagation with pointer
+    jumping over tables, in as many rounds as it takes. Both give the same labels."""
+    if links.count() <= one_task:
+        return materialize(links.select("a", "b").coalesce(1).mapInArrow(united, "uid long, label long"), "labels")
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     now = materialize(edges.groupBy(F.col("a").alias("uid")).agg(F.min("b").alias("m")).select("uid", F.least("uid", "m").alias("label")), "labels")
     while True:
@@ -338,7 +360,7 @@ def links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, words:
 
     def fits(pairs: DataFrame) -> DataFrame:
         """Pairs that the sketches do not rule out."""
-        one = salted_join(pairs, known.select(F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x")), "a")
+        one = pairs.join(known.select(F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x")), "a")  # hot sides are split at run time
         two = one.join(known.select(F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y")), "b")
         return passing(two.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b", "x", "y", "n_a", "n_b"), num, den, exact=False)
 
@@ -350,18 +372,27 @@ def links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, words:
         texts = docs.select(id_col, text_col).join(few, docs[id_col].eqNullSafe(few[id_col]), "left_semi")
         sets = members(texts, id_col, text_col, words)
         sets = materialize(sets, f"{name}-sets")
-        one = salted_join(pairs, sets.select(F.col("uid").alias("a"), F.col("members").alias("x")), "a", salts=4)
+        one = pairs.join(sets.select(F.col("uid").alias("a"), F.col("members").alias("x")), "a")
         two = one.join(sets.select(F.col("uid").alias("b"), F.col("members").alias("y")), "b")
         return materialize(passing(two.select("a", "b", "x", "y"), num, den, exact=True).distinct(), f"{name}-links")
 
-    first = materialize(fits(shared.where("uid != lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct()), "star-pairs")
-    found = verified(first, "star")
+    # Every set against the smallest of each of its keys, and against the next two: of a group of near copies, most come into
+    # one component this way. All keys go by one order, so that these are often the same for many keys.
+    order = Window.partitionBy("key").orderBy("uid")
+    near = shared.withColumn("next", F.lead("uid", 1).over(order)).withColumn("next_but_one", F.lead("uid", 2).over(order))
+    near = near.select("uid", F.explode(F.array("lead", "next", "next_but_one")).alias("other")).where("other is not null and uid != other")
+    first = materialize(fits(near.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()), "first-pairs")
+    found = verified(first, "first")
     label = labels(found)
 
+    def unsettled(label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of keys, but for the smallest, with their components; and the keys in which these differ."""
+        at = shared.where("uid != lead").join(label, "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("comp"))
+        return at, at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low != high")
+
     # What is left: pairs of a key in different components, neither of them the key's smallest.
-    at = shared.join(label, "uid", "left").withColumn("comp", F.coalesce("label", "uid")).select("key", "uid", "lead", "comp")
-    rest = at.where("uid != lead")
-    mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low != high").select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    rest, mixed = unsettled(label)
+    mixed = mixed.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
     left = rest.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "comp", "block").join(known, "uid")
@@ -405,7 +436,7 @@ def links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, words:
     second = materialize(grouped.mapInArrow(across, "a long, b long").distinct(), "cross-pairs")
     if second.isEmpty():
         return label
-    return labels(found.unionByName(verified(second, "cross")))
+    return labels(materialize(found.unionByName(verified(second, "cross")), "all-links"))
 
 
 def components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:

@@ -168,6 +168,14 @@ def test_keys_of_linked_sets_meet():
                 assert np.intersect1d(*k).size
 
 
+def test_labels_agree_in_one_task_and_over_tables(spark):
+    r = np.random.default_rng(1)
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 400, (300, 2)) if a != b] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, 2000 + k) for k in range(1, 200)]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    one, many = (sorted(map(tuple, shingle_join.labels(df, one_task=n).collect())) for n in (10**6, 0))
+    assert one == many and dict(one)[1040] == 1000 and dict(one)[2199] == 2000
+
+
 def test_keep_one_of_each_group(docs, none):
     kept = shingle_join.keep_one(docs)
     assert kept.columns == docs.columns
