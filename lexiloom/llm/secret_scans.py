@@ -2,7 +2,8 @@
 
 The text is the first layer. Each layer is scanned with the three patterns; then its encodings are
 undone and the results go on the worklist: percent escapes and Unicode escapes in place (so that a
-key word in clear keeps its encoded value beside it), base64 runs as layers of their own, and bytes
+key word in clear keeps its encoded value beside it), base64 runs, joined across line breaks and read from
+all four alignments, as layers of their own (the printable stretches where the bytes are no text), and bytes
 with a gzip, zlib, bzip2 or xz head decompressed. A layer that was met before (same content, same place in
 the text) is not taken again, so cycles end and the worklist reaches a fixpoint. Every layer carries a
 map from its characters to code points of the original text, and findings are reported as spans there.
@@ -16,14 +17,13 @@ table gives an empty result; further input columns are not read by the report, a
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +42,13 @@ WORDS = ("passw", "secret", "token", "api")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,})={0,2}")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+BREAK = re.compile(r"[ \t]*+(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*+")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)+")
+URL_SAFE, LEAST_RUN = str.maketrans("-_", "+/"), 16
+STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|[\x08\x18\x28\x38\x48\x58\x68\x78](?=.)", re.DOTALL)
 HEX_CLASS = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 
@@ -135,23 +141,41 @@ def unpack(data: bytes, most: int) -> tuple[bytes, bool] | None:
     return (out, not make.eof and len(out) >= most) if out else None
 
 
-def unwrap(run: str) -> bytes | None:
-    """Bytes of a base64 run in the common or the URL alphabet, with or without padding."""
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def unwrap(letters: str) -> bytes:
+    """Bytes of base64 letters of the common or the URL alphabet, without padding."""
+    body = letters[: len(letters) - (len(letters) % 4 == 1)]
+    return binascii.a2b_base64(body.translate(URL_SAFE) + "=" * (-len(body) % 4))
 
 
-def readable(data: bytes) -> str | None:
+def readable(data: bytes) -> list[tuple[int, str]]:
+    """(first byte, text): all of data if it is text, else its printable stretches; nothing shorter can hold a secret."""
+    if not STRETCH.search(data):
+        return []
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
-    return text if sum(map(str.isprintable, text)) + sum(map(text.count, "\t\n\r")) >= 0.95 * len(text) else None
+        text = ""
+    if text and sum(map(str.isprintable, text)) + sum(map(text.count, "\t\n\r")) >= 0.95 * len(text):
+        return [(0, text)]
+    return [(m.start(), m[0].decode()) for m in STRETCH.finditer(data)]
+
+
+def runs(text: str) -> Iterator[tuple[str, Sequence[int], bool]]:
+    """Base64 runs: letters, their places, and whether compressed bytes are read from it. A wrapped block is read as a whole, its lines
+    also one by one (they may be values of their own), but then for text only: a line holds no whole stream."""
+    blocks = []
+    if "\n" in text or "\r" in text or "\\n" in text:
+        for m in WRAPPED.finditer(text):
+            places = [k for part in LETTERS.finditer(BREAK.sub(lambda x: " " * len(x[0]), m[0])) for k in range(m.start() + part.start(), m.start() + part.end())]
+            if len(places) >= LEAST_RUN:
+                blocks.append(m.span())
+                yield "".join(map(text.__getitem__, places)), places, True
+    k = 0
+    for m in BASE64.finditer(text):
+        a, b = m.span(1)
+        while k < len(blocks) and blocks[k][1] <= a:
+            k += 1
+        yield m[1], range(a, b), not (k < len(blocks) and blocks[k][0] < b)
 
 
 def inner(layer: Layer, largest: int) -> tuple[list[Layer], int]:
@@ -161,32 +185,29 @@ def inner(layer: Layer, largest: int) -> tuple[list[Layer], int]:
         out.append(x)
     if ("\\" in text or "&#" in text) and (x := layer.replaced(UNICODE, escape)):
         out.append(x)
-    for m in BASE64.finditer(text):
-        data = unwrap(m[0])
-        if not data:
-            continue
-        packed, rounds = data, 0
-        while got := unpack(packed, max(largest, 200 * len(packed))):  # compressed within compressed
-            packed, was_cut = got
-            cut, rounds = cut + was_cut, rounds + 1
-            if rounds > 64:
-                break
-        clear = packed.decode("utf-8", "replace") if rounds else readable(data)
-        if not clear:
-            continue
-        a, b = m.span()
-        if rounds:
-            start, end = layer.span(a, b)
-            out.append(Layer(clear, [start] * len(clear), [end] * len(clear)))
-            continue
-        starts, ends, at, last = [], [], 0, b - a
-        for c in clear:  # byte k of the clear text comes from the base64 letters k * 4 // 3 to (k + 1) * 4 / 3
-            n = len(c.encode())
-            s, e = layer.span(a + min(at * 4 // 3, last - 1), a + min(-(-(at + n) * 4 // 3), last))
-            starts.append(s)
-            ends.append(e)
-            at += n
-        out.append(Layer(clear, starts, ends))
+    for letters, places, whole in runs(text):
+        for shift in range(4):  # what is in front may have joined the run: of its starts, those of equal remainder by 4 give the same bytes
+            data, last = unwrap(letters[shift:]), len(letters) - shift
+            for m in MAGIC.finditer(data) if whole else ():
+                packed, rounds = data[m.start() :], 0
+                while got := unpack(packed, max(largest, 200 * len(packed))):  # compressed within compressed
+                    packed, was_cut = got
+                    cut, rounds = cut + was_cut, rounds + 1
+                    if rounds > 64:
+                        break
+                if rounds:
+                    clear = packed.decode("utf-8", "replace")
+                    start, end = layer.span(places[shift + m.start() * 4 // 3], places[-1] + 1)
+                    out.append(Layer(clear, [start] * len(clear), [end] * len(clear)))
+            for at, clear in readable(data):
+                starts, ends = [], []
+                for c in clear:  # byte k of the clear text comes from the base64 letters k * 4 // 3 to (k + 1) * 4 / 3
+                    n = len(c.encode())
+                    s, e = layer.span(places[shift + at * 4 // 3], places[shift + min(-(-(at + n) * 4 // 3), last) - 1] + 1)
+                    starts.append(s)
+                    ends.append(e)
+                    at += n
+                out.append(Layer(clear, starts, ends))
     return out, cut
 
 

@@ -119,6 +119,25 @@ def test_wrapped_secrets_are_found_in_place(kind):
     assert masked.startswith("héad ") and masked.endswith(" tail") and "[secret]" in masked
 
 
+B64 = WRAPPED["base64"]
+LONG = base64.b64encode(("x y z, " * 9 + INNER + " and so on, " * 9).encode()).decode()
+BEHIND = {f"{n} {p}": p + x for p in ("https://host.example/cb/", "key_", "blob-", "v2/", "a", "ab", "abc", "word\n") for n, x in (("clear", B64), ("gzip", WRAPPED["gzip"]), ("zlib", WRAPPED["zlib"]))} | {
+    "mime": base64.encodebytes(("x y z, " * 9 + INNER).encode()).decode(), "crlf": "\r\n".join(LONG[k : k + 64] for k in range(0, len(LONG), 64)), "indented": "\n    ".join(LONG[k : k + 20] for k in range(0, len(LONG), 20)), "escaped": "\\n".join(LONG[k : k + 20] for k in range(0, len(LONG), 20)),
+    "gzip mime": base64.encodebytes(gzip.compress((prose(5, 90) + INNER).encode())).decode(), "binary": base64.b64encode(bytes(range(128, 256)) + INNER.encode() + bytes(40)).decode(),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(BEHIND))
+def test_base64_is_found_behind_letters_across_lines_and_within_binary(kind):
+    text = f"héad: {BEHIND[kind]} . tail"
+    _, every, _, cut = secret_scans.find(text)
+    assert not cut and any(k == 0 and 6 <= a < b <= len(text) - 6 for a, b, k in every)
+    if kind in ("mime", "crlf", "indented", "escaped", "binary"):
+        whole = {"".join(text[a:b].replace("\\n", "").split()) for a, b, _ in every}
+        assert any(INNER in base64.b64decode(("A" * lead + x + "AAA")[: (len(x) + lead + 3) // 4 * 4]).decode("latin-1") for x in whole for lead in range(4))
+    assert all(x not in secret_scans.mask(text) for x in (B64, WRAPPED["gzip"], WRAPPED["zlib"]))
+
+
 def test_cycles_end_and_bombs_are_cut_and_counted():
     assert secret_scans.find("%2525252525 " * 50)[2] < 20
     bomb = base64.b64encode(gzip.compress(b"a" * 3_000_000)).decode()
