@@ -4,12 +4,14 @@ The text is the first layer. Each layer is scanned with the three patterns; then
 undone and the results go on the worklist: percent escapes and Unicode escapes in place (so that a
 key word in clear keeps its encoded value beside it), base64 runs, joined across line breaks and read from
 all four alignments, as layers of their own (the printable stretches where the bytes are no text), and bytes
-with a gzip, zlib, bzip2 or xz head decompressed. A layer that was met before (same content, same place in
+with a gzip, zlib, bzip2 or xz head (also those of percent and \\x escapes) decompressed. A layer that was met before (same content, same place in
 the text) is not taken again, so cycles end and the worklist reaches a fixpoint. Every layer carries a
 map from its characters to code points of the original text, and findings are reported as spans there.
 
-Memory is bounded: a decompressed layer is cut off at `largest` bytes or 200 times its input, whichever
-is more, and the number of layers cut is reported in layers_cut, never hidden.
+Compressed streams are read to their end, with the members behind them, in windows of bounded memory that
+overlap. What cannot be read whole is counted in layers_cut and masked by mask(): broken or unfinished
+streams, more than 100 streams within each other, and a single run in a stream (without any blank) of over
+`largest` characters or 200 times the input, whichever is more; such a run is still read, but in parts.
 
 Defined cases: null text counts as empty; null ids stay null; repeated rows get their rows; an empty
 table gives an empty result; further input columns are not read by the report, and kept by the filter.
@@ -19,11 +21,13 @@ from __future__ import annotations
 
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,7 +52,17 @@ BREAK = re.compile(r"[ \t]*+(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*+")
 WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)+")
 URL_SAFE, LEAST_RUN = str.maketrans("-_", "+/"), 16
 STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
-MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|[\x08\x18\x28\x38\x48\x58\x68\x78](?=.)", re.DOTALL)
+#: Heads of gzip, bzip2, xz and (two bytes with a check sum, no preset dictionary) zlib.
+MAGIC = re.compile(rb"\x1f\x8b\x08[\0-\x1f]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|" + b"|".join(re.escape(bytes([c, f])) for c in range(0x08, 0x80, 16) for f in range(256) if (256 * c + f) % 31 == 0 and not f & 32))
+LEAST_STREAM, DEEPEST, PIECE, WINDOW = 10, 100, 1 << 16, 1 << 20
+#: Squeezed as in windows(), no match needs more than OVERLAP characters; RUN_OVERLAP is that through layers of encodings.
+OVERLAP, RUN_OVERLAP = 64, 1 << 16
+SPACES, CLEAR = re.compile(" {3,}"), re.compile(r"[\t\n\r\x20-\x7e]{16,}")
+END = re.compile(r"""(?<=\S)\x20(?=\S)|[^A-Za-z0-9+/_=%\\{}&#;.:"'\s-]""")
+PERCENT_RUN, PERCENT_TOKEN = re.compile(r"(?<![!-$&-~])[!-$&-~]*+(?:%[0-9A-Fa-f]{2}[!-$&-~]*+)+"), re.compile(r"%([0-9A-Fa-f]{2})|[!-$&-~]")
+HEX_TOKEN = re.compile(r"""\\x([0-9A-Fa-f]{2})|\\[\\'"abfnrtv0]|[\x20!#-&(-\[\]-~]""")
+HEX_RUN = re.compile(rf"""[\x20!#-&(-\[\]-~]{{0,10}}\\x[0-9A-Fa-f]{{2}}(?:{HEX_TOKEN.pattern.replace("x([0-9A-Fa-f]{2})", "x[0-9A-Fa-f]{2}")})*+""")
+SIMPLE = {rf"\{k}": v for k, v in zip("abfnrtv0", "\a\b\f\n\r\t\v\0", strict=True)}
 HEX_CLASS = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 
@@ -65,6 +79,22 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+class Flat(Sequence):
+    """One number many times."""
+
+    def __init__(self, value: int, n: int):
+        self.value, self.n = value, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k):
+        return Flat(self.value, len(range(self.n)[k])) if isinstance(k, slice) else self.value
+
+    def __iter__(self) -> Iterator[int]:
+        return repeat(self.value, self.n)
+
+
 class Layer:
     """Text with, for each character, the code points [start, end) of the original text that it comes from."""
 
@@ -76,6 +106,8 @@ class Layer:
         self.ends = range(1, len(text) + 1) if ends is None else ends
 
     def span(self, start: int, end: int) -> tuple[int, int]:
+        if isinstance(self.starts, Flat):
+            return self.starts.value, self.ends.value
         return min(self.starts[start:end]), max(self.ends[start:end])
 
     def replaced(self, pattern: re.Pattern, decode) -> Layer | None:
@@ -122,23 +154,128 @@ def escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(code), 0, len(m[0]))]
 
 
-def unpack(data: bytes, most: int) -> tuple[bytes, bool] | None:
-    """Decompressed bytes and whether they were cut at `most`; None if data is not compressed."""
-    if data[:2] == b"\x1f\x8b":
-        make = zlib.decompressobj(31)
-    elif len(data) > 6 and data[0] & 0x0F == 8 and data[0] >> 4 < 8 and int.from_bytes(data[:2], "big") % 31 == 0:
-        make = zlib.decompressobj(15)
-    elif data[:3] == b"BZh":
-        make = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\0":
-        make = lzma.LZMADecompressor(lzma.FORMAT_XZ)
-    else:
+def opened(head: bytes):
+    """A decompressor for the stream that begins with head, and whether its mark is too long to be met by chance; None if there is none."""
+    m = MAGIC.match(head) if len(head) >= LEAST_STREAM else None
+    if not m:
         return None
+    if head[0] == 0x1F:
+        return zlib.decompressobj(31), True
+    if m[0] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ), True
+    return (bz2.BZ2Decompressor(), True) if head[:3] == b"BZh" else (zlib.decompressobj(15), False)
+
+
+def pieces_of(data: bytes, start: int = 0) -> Iterator[bytes]:
+    return (data[k : k + PIECE] for k in range(start, len(data), PIECE))
+
+
+class Inflated:
+    """The content of a compressed stream and of the members right behind it, piece by piece, up to a fault if there is one.
+
+    `used` bytes were read by whole streams, `rest` is what no stream read of the pieces taken, `faulty` tells of a broken or
+    unfinished stream, `sure` of a long mark."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.used, self.rest, self.faulty, self.sure = iter(pieces), 0, b"", False, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        stream, fed = None, 0
+        for piece in self.pieces:
+            self.rest += piece
+            fed += len(piece)
+            while self.rest or not getattr(stream, "needs_input", True):
+                if stream is None:
+                    if self.used:
+                        self.rest = self.rest.lstrip(b"\0")  # padding
+                    if len(self.rest) < LEAST_STREAM:
+                        break
+                    if not (got := opened(self.rest)):
+                        return
+                    stream, sure = got
+                    self.sure |= sure
+                again = stream.copy() if hasattr(stream, "copy") else None
+                try:
+                    out = stream.decompress(self.rest, PIECE)
+                except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                    self.faulty = True
+                    yield from before_fault(again, self.rest)
+                    return
+                self.rest = stream.unused_data if stream.eof else getattr(stream, "unconsumed_tail", b"")
+                if stream.eof:
+                    stream, self.used = None, fed - len(self.rest)
+                if out:
+                    yield out
+        if hasattr(stream, "flush"):
+            yield stream.flush()
+        self.faulty |= stream is not None
+
+
+def before_fault(stream, data: bytes) -> Iterator[bytes]:
     try:
-        out = make.decompress(data, most)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    return (out, not make.eof and len(out) >= most) if out else None
+        for k in range(len(data) if stream else 0):
+            yield stream.decompress(data[k : k + 1])
+    except zlib.error:
+        pass
+
+
+def windows(pieces: Iterable[bytes], most: int, faults: list) -> Iterator[str]:
+    """The text of the pieces in overlapping windows that end where no run goes on. A run of over `most` is read in parts and noted."""
+    decoder, text, limit = codecs.getincrementaldecoder("utf-8")("replace"), "", min(WINDOW, most)
+    for piece in pieces:
+        text += decoder.decode(piece)
+        if "   " in text:  # the patterns take any number of spaces, and places within are not reported
+            text = SPACES.sub("  ", text)
+        while len(text) >= limit:
+            end, back = END.search(text[::-1]), OVERLAP
+            at = len(text) - 1 - end.start() if end else 0
+            if at <= 2 * OVERLAP:
+                if limit < most:
+                    limit = min(2 * limit, most)
+                    continue
+                faults.append("run")
+                at, back = limit, min(RUN_OVERLAP, limit // 2)
+            yield text[:at]
+            text, limit = text[at - back :], min(WINDOW, most)
+    yield text + decoder.decode(b"", True)
+
+
+def unpacked(stream: Inflated, most: int, faults: list, seen: frozenset = frozenset(), depth: int = 0) -> Iterator[str]:
+    """Windows of the content of a stream and of the streams at its head; content that was met before on the way in ends the way."""
+    source, first = iter(stream), b""
+    for piece in source:
+        first += piece
+        if len(first) >= WINDOW:
+            break
+    whole, mark = len(first) < WINDOW, hashlib.blake2b(first, digest_size=16).digest()
+    if whole and mark in seen:
+        return
+    rest, clear = chain([first], source), False
+    if got := opened(first):
+        within = Inflated(chain(pieces_of(first), source))
+        if depth >= DEEPEST:
+            faults.append("depth")
+        elif whole or got[1] or next(iter(Inflated([first[:PIECE]])), b""):
+            yield from unpacked(within, most, faults, seen | {mark}, depth + 1)
+            rest = [first] if whole else chain([within.rest], within.pieces)
+    for w in windows(pieces_of(first) if whole else rest, most, faults):
+        clear = clear or bool(CLEAR.search(w))
+        yield w
+    if stream.faulty and (stream.sure or clear):
+        faults.append("stream")
+
+
+def streams(data: bytes, span: Callable[[int], tuple[int, int]], largest: int, unread: set) -> Iterator[Layer]:
+    """Layers of the compressed streams in data; span(k) is the place of the bytes from k on. Places of streams not read to their end go to `unread`."""
+    at = 0
+    while m := MAGIC.search(data, at):
+        at = m.start()
+        stream, faults, place = Inflated(pieces_of(data, at)), [], span(at)
+        for w in unpacked(stream, max(largest, 200 * (len(data) - at)), faults):
+            yield Layer(w, Flat(place[0], len(w)), Flat(place[1], len(w)))
+        if faults:
+            unread.add(place)
+        at += max(1, stream.used)
 
 
 def unwrap(letters: str) -> bytes:
@@ -178,9 +315,20 @@ def runs(text: str) -> Iterator[tuple[str, Sequence[int], bool]]:
         yield m[1], range(a, b), not (k < len(blocks) and blocks[k][0] < b)
 
 
-def inner(layer: Layer, largest: int) -> tuple[list[Layer], int]:
-    """The layers one step inside, and how many of them were cut."""
-    text, out, cut = layer.text, [], 0
+def escaped_bytes(text: str) -> Iterator[tuple[bytes, list[int], int]]:
+    """Bytes of runs of percent and \\x escapes with the characters left in clear between them, the place of each byte, and the run's end."""
+    for mark, run, token in (("%", PERCENT_RUN, PERCENT_TOKEN), ("\\x", HEX_RUN, HEX_TOKEN)):
+        for m in run.finditer(text) if mark in text else ():
+            tokens = list(token.finditer(text, *m.span()))
+            yield bytes(int(x[1], 16) if x[1] else ord(SIMPLE.get(x[0], x[0][-1])) for x in tokens), [x.start() for x in tokens], m.end()
+
+
+def inner(layer: Layer, largest: int, unread: set) -> list[Layer | Iterator[Layer]]:
+    """The layers one step inside, and iterators over those that are inflated."""
+    text, out = layer.text, []
+    for data, places, end in escaped_bytes(text):
+        if MAGIC.search(data):
+            out.append(streams(data, lambda k, places=places, end=end: layer.span(places[k], end), largest, unread))
     if "%" in text and (x := layer.replaced(PERCENT, percent)):
         out.append(x)
     if ("\\" in text or "&#" in text) and (x := layer.replaced(UNICODE, escape)):
@@ -188,17 +336,8 @@ def inner(layer: Layer, largest: int) -> tuple[list[Layer], int]:
     for letters, places, whole in runs(text):
         for shift in range(4):  # what is in front may have joined the run: of its starts, those of equal remainder by 4 give the same bytes
             data, last = unwrap(letters[shift:]), len(letters) - shift
-            for m in MAGIC.finditer(data) if whole else ():
-                packed, rounds = data[m.start() :], 0
-                while got := unpack(packed, max(largest, 200 * len(packed))):  # compressed within compressed
-                    packed, was_cut = got
-                    cut, rounds = cut + was_cut, rounds + 1
-                    if rounds > 64:
-                        break
-                if rounds:
-                    clear = packed.decode("utf-8", "replace")
-                    start, end = layer.span(places[shift + m.start() * 4 // 3], places[-1] + 1)
-                    out.append(Layer(clear, [start] * len(clear), [end] * len(clear)))
+            if whole and MAGIC.search(data):
+                out.append(streams(data, lambda k, places=places, shift=shift: layer.span(places[shift + k * 4 // 3], places[-1] + 1), largest, unread))
             for at, clear in readable(data):
                 starts, ends = [], []
                 for c in clear:  # byte k of the clear text comes from the base64 letters k * 4 // 3 to (k + 1) * 4 / 3
@@ -208,28 +347,34 @@ def inner(layer: Layer, largest: int) -> tuple[list[Layer], int]:
                     ends.append(e)
                     at += n
                 out.append(Layer(clear, starts, ends))
-    return out, cut
+    return out
 
 
-def find(text: str, largest: int = 64 << 20) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base spans, all spans (both sorted by start, kind, end), layers read and layers cut."""
+def search(text: str, largest: int) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int]], int, set[tuple[int, int]]]:
+    """Base spans, all spans, layers read, and places of what could not be read to its end."""
     base = sorted(scan(text), key=lambda x: (x[0], x[2], x[1]))
-    every, met, work, layers, cut = set(base), set(), [Layer(text)], 0, 0
+    every, met, unread, layers = set(base), set(), set(), 1
+    work: list = inner(Layer(text), largest, unread)
     while work:
-        layer = work.pop()
-        layers += 1
-        if layers > 1:
+        layer = work[-1] if isinstance(work[-1], Iterator) else work.pop()
+        if isinstance(layer, Iterator) and (layer := next(layer, None)) is None:
+            work.pop()
+            continue
+        if not layer.text:
+            continue
+        mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.starts[0], layer.ends[-1]
+        if mark not in met and layer.text != text:
+            met.add(mark)
+            layers += 1
             every.update((*layer.span(a, b), kind) for a, b, kind in scan(layer.text))
-        more, was_cut = inner(layer, largest)
-        cut += was_cut
-        for x in more:
-            if not x.text:
-                continue
-            mark = hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), x.starts[0], x.ends[-1]
-            if mark not in met and x.text != text:
-                met.add(mark)
-                work.append(x)
-    return base, sorted(every, key=lambda x: (x[0], x[2], x[1])), layers, cut
+            work += inner(layer, largest, unread)
+    return base, every, layers, unread
+
+
+def find(text: str, largest: int = 64 << 20) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
+    """Base spans, all spans (both sorted by start, kind, end), layers read and places not read to their end."""
+    base, every, layers, unread = search(text, largest)
+    return base, sorted(every, key=lambda x: (x[0], x[2], x[1])), layers, len(unread)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -256,12 +401,13 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def mask(text: str, by: str = "[secret]") -> str:
-    """text with every span, base or unwrapped, replaced; overlapping spans are replaced as one."""
-    spans = find(text)[1]
+    """text with every span, base or unwrapped, replaced, and so is what could not be read to its end; overlapping spans are replaced as one."""
+    _, every, _, unread = search(text, 64 << 20)
+    spans = sorted({(a, b) for a, b, _ in every} | unread)
     if not spans:
         return text
     out, at = [], 0
-    for a, b, _ in spans:
+    for a, b in spans:
         if a >= at:
             out += [text[at:a], by]
         at = max(at, b)

@@ -1,8 +1,10 @@
 """Token counts, pieces, secrets and quality rules against the libraries and against brute force."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -144,6 +146,38 @@ def test_cycles_end_and_bombs_are_cut_and_counted():
     assert secret_scans.find(bomb, largest=1000)[3] == 1
 
 
+def packed(data, pack=gzip.compress):
+    return base64.b64encode(pack(data)).decode()
+
+
+def test_streams_are_read_to_their_end_with_all_members_and_faults_are_counted_and_masked():
+    secret, filler = b" " + INNER.encode() + b" ", b"word and " * 200_000
+    for x in (filler + secret, filler + b"password" + b" " * 3_000_000 + b"= abcdefghijkl1234", filler + base64.b64encode(secret * 3) + b" " + filler, gzip.compress(gzip.compress(filler + secret))):
+        for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+            _, every, _, cut = secret_scans.find(f"a {packed(x, pack)} b", largest=1 << 16)
+            assert not cut and any(k == 0 for *_, k in every)
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        halves = base64.b64encode(pack(b"some words") + pack(secret[:9]) + pack(secret[9:])).decode()
+        assert any(k == 0 for *_, k in secret_scans.find(halves)[1]) and not secret_scans.find(halves)[3]
+    short = base64.b64encode(gzip.compress(secret + prose(7, 900).encode())[:-400]).decode()
+    wrong = base64.b64encode(gzip.compress(secret)[:-8] + bytes(8)).decode()
+    for x in (short, wrong):
+        assert any(k == 0 for *_, k in secret_scans.find(x)[1]) and secret_scans.find(x)[3] == 1
+    blank = base64.b64encode(bz2.compress(secret)[:-20]).decode()
+    assert secret_scans.find(blank)[3] == 1 and blank[:40] not in secret_scans.mask(f"a {blank} b")
+    for pack in (gzip.compress, zlib.compress, bz2.compress):
+        raw = pack(secret * 2)
+        for x in (urllib.parse.quote_from_bytes(raw, safe=""), "".join(f"%{c:02x}" for c in raw), "".join(f"\\x{c:02x}" for c in raw), repr(raw)):
+            assert any(k == 0 for *_, k in secret_scans.find(f"see {x} there")[1])
+    deep = secret
+    for _ in range(90):
+        deep = gzip.compress(deep)
+    assert any(k == 0 for *_, k in secret_scans.find(base64.b64encode(deep).decode())[1])
+    for _ in range(20):
+        deep = gzip.compress(deep)
+    assert secret_scans.find(base64.b64encode(deep).decode())[3] == 1
+
+
 def test_masking_keeps_columns_rows_and_nulls(docs):
     out = secret_scans.mask_secrets(docs)
     assert out.columns == docs.columns and out.count() == len(CASES)
