@@ -80,9 +80,19 @@ def gold_word_cover(spark, d):
 
 @query("WITH RECURSIVE x AS (SELECT l_suppkey AS g, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS pos, l_quantity::INT AS number FROM lineitem WHERE l_orderkey < 300), f(g, pos, last, taken) AS (SELECT DISTINCT g, 0::BIGINT, 0, []::BIGINT[] FROM x UNION ALL SELECT x.g, x.pos, CASE WHEN number > last AND number <= last + 8 THEN number ELSE last END, CASE WHEN number > last AND number <= last + 8 THEN list_append(taken, x.pos) ELSE taken END FROM f JOIN x ON x.g = f.g AND x.pos = f.pos + 1) SELECT g, array_to_string(arg_max(taken, pos), ',') AS taken FROM f GROUP BY g")
 def endnote_starts(spark, d):
+    """Over a part of the table that the recursive SQL can follow; endnote_starts_all has the whole."""
+    return _starts(A.table(spark, d, "lineitem").where("l_orderkey < 300"))
+
+
+@query()
+def endnote_starts_all(spark, d):
+    return _starts(A.table(spark, d, "lineitem"))
+
+
+def _starts(lines):
     from pyspark.sql import Window
 
-    x = A.table(spark, d, "lineitem").where("l_orderkey < 300").select(F.col("l_suppkey").alias("g"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")).alias("pos"), F.col("l_quantity").cast("long").alias("number"))
+    x = lines.select(F.col("l_suppkey").alias("g"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")).alias("pos"), F.col("l_quantity").cast("long").alias("number"))
     return B.monotone_notes(x, "g").select("g", F.array_join(F.transform("taken", lambda v: v.cast("string")), ",").alias("taken"))
 
 

@@ -75,3 +75,16 @@ def test_phrases_against_a_plain_scan(spark):
                 wanted.append((i, hit, at))
             at += len(hit) if hit else 1
     assert sorted(map(tuple, catalogue.phrase_automaton(spark, str(DATA)).collect())) == sorted(wanted)
+
+
+def test_endnote_starts_of_all_rows_against_a_fold(spark):
+    rows, wanted, last = duckdb.sql(f"SELECT l_suppkey, l_quantity::BIGINT FROM '{DATA}/lineitem.parquet' ORDER BY l_suppkey, l_orderkey, l_linenumber, l_extendedprice").fetchall(), {}, {}
+    at = dict.fromkeys((g for g, _ in rows), 0)
+    for g, number in rows:
+        at[g] += 1
+        wanted.setdefault(g, [])
+        if last.get(g, 0) < number <= last.get(g, 0) + 8:
+            last[g] = number
+            wanted[g].append(str(at[g]))
+    got = dict(map(tuple, catalogue.queries()["endnote_starts_all"](spark, str(DATA)).collect()))
+    assert got == {g: ",".join(x) for g, x in wanted.items()}
