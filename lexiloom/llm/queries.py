@@ -23,7 +23,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"))
+    return sentence_pieces.piece_digests(table(spark, sf_dir, "documents"), spans=True)
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

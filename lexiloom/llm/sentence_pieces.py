@@ -19,9 +19,12 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -212,10 +215,17 @@ class Encoder:
                 found.append((self.unknown, len(s)))
         return found
 
-    def chunk(self, chunk: str) -> tuple[str, int, bytes, int]:
-        """Of a chunk: decimal ids joined, their number, its decoded bytes, and the source bytes that its pieces span in the plain case."""
-        ids = [i for i, _ in self.units(chunk)]
-        return " ".join(map(str, ids)), len(ids), b"".join(map(self.surface.__getitem__, ids)), len(chunk.replace(SPACE, " ").encode())
+    def chunk(self, chunk: str) -> tuple[str, int, bytes, int, bytes]:
+        """Of a chunk: decimal ids joined, their number, its decoded bytes, and for the plain case its source bytes and its pieces' spans in them."""
+        units, spans, at, last = self.units(chunk), [], 0, (0, 0)
+        place = range(len(chunk) + 1) if chunk.replace(SPACE, "").isascii() else [0, *accumulate(1 if c < "\x80" or c == SPACE else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in chunk)]
+        for _, n in units:
+            if n:
+                last = place[at], place[at + n]
+            spans += last
+            at += n
+        ids = [i for i, _ in units]
+        return " ".join(map(str, ids)), len(ids), b"".join(map(self.surface.__getitem__, ids)), place[-1], array("i", spans).tobytes()
 
     def chunks(self, normal: str) -> list[str]:
         return self.cut.findall(normal) if self.cut else [normal] if normal else []
@@ -241,14 +251,30 @@ class Encoder:
                 at += n
         return out
 
-    def digest(self, text: str) -> tuple[int, str, str, int]:
-        """Number of ids with the end id, digests of the ids and of the decoded text, and the source bytes that pieces span."""
+    def digest(self, text: str) -> tuple[int, str, str, int, str]:
+        """Number of ids with the end id, digests of the ids and of the decoded text, the source bytes that the spans of the pieces cover,
+        and a digest of these spans, each start and end as eight bytes with the lowest first, the end id's last."""
         normal, where = self.normalize(text)
         got = [self.memo[c] for c in self.chunks(normal)]
         ids = " ".join([*(g[0] for g in got), str(self.end)])
         decoded = self.strip(b"".join(g[2] for g in got), normal.startswith(SPACE))
-        covered = where[-1] if where else sum(g[3] for g in got) - bool(self.dummy and text) if where is None else 0
-        return sum(g[1] for g in got) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest(), covered
+        spans = self.spans(text, got if where is None and SPACE not in text else None)
+        ends = np.maximum.accumulate(spans[:, 1])
+        covered = int(np.maximum(ends - np.maximum(spans[:, 0], np.concatenate([[0], ends[:-1]])), 0).sum())
+        return len(spans), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest(), covered, hashlib.sha256(spans.tobytes()).hexdigest()
+
+    def spans(self, text: str, got: list | None) -> np.ndarray:
+        """Start and end in the source of every piece and of the end id: of memoised chunks in the plain case, else through the recorded alignment."""
+        if got is None:
+            found = np.array([(a, b) for _, a, b in self.encode(text)], "<i8").reshape(-1, 2)
+        else:
+            size, n = np.array([g[3] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
+            first = np.cumsum(size) - size - bool(self.dummy and text)  # the blank put in front takes no source byte
+            found = np.frombuffer(b"".join([g[4] for g in got]), np.int32).reshape(-1, 2) + np.repeat(first, n)[:, None]
+            np.maximum(found[:1], 0, out=found[:1])
+        out = np.empty((len(found) + 1, 2), "<i8")
+        out[:-1], out[-1] = found, len(text.encode())
+        return out
 
     # -- decoding -----------------------------------------------------------------------------------
 
@@ -269,8 +295,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def piece_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """One row per document: id, n_tokens with the end id, ids_sha256, decoded_sha256, and the original bytes that the pieces span. Narrow."""
+def piece_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, spans: bool = False) -> DataFrame:
+    """One row per document: id, n_tokens with the end id, ids_sha256, decoded_sha256, the original bytes that the pieces span, and with
+    `spans` also spans_sha256, of every piece's start and end in the original bytes. Narrow."""
     ship(docs.sparkSession)
     path = model or tokenizer_path("piece_bpe_32k.model")
 
@@ -278,10 +305,12 @@ def piece_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         digest = encoder(path).digest
         for b in batches:
             rows = [digest(t.as_py() or "") for t in b.column(1)]
-            n, ids, text, covered = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string()), pa.array(covered, pa.int64())], names=[f.name for f in schema.fields])
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c, kind in list(zip(cols, kinds, strict=True))[: len(names)])], names=[f.name for f in schema.fields])
 
-    schema = T.StructType([field(docs, id_col), *(T.StructField(k, t) for k, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("spanned_bytes", T.LongType())))])
+    kinds = pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()
+    names = ("n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes", *(["spans_sha256"] if spans else []))
+    schema = T.StructType([field(docs, id_col), *(T.StructField(k, T.StringType() if k.endswith("sha256") else T.LongType()) for k in names)])
     return docs.select(id_col, text_col).mapInArrow(kernel, schema)
 
 

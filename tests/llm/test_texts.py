@@ -61,6 +61,22 @@ def test_pieces_equal_the_library_and_spans_cover_the_text(docs, none):
     assert [p["id"] for p in rows[7]] == sp.encode("short text", add_eos=True)
 
 
+def test_span_digests_are_those_of_the_pieces(spark, docs, tmp_path):
+    from lexiloom.llm import queries
+
+    def wanted(spans):
+        return hashlib.sha256(b"".join(x.to_bytes(8, "little") for s in spans for x in s)).hexdigest()
+
+    e = sentence_pieces.Encoder(P.path("piece_bpe_32k.model"))
+    for x in [*ODD, prose(4, 50), "a ▁b▁ é", "  two  blanks \n"]:
+        size = len(x.encode())
+        got = e.digest(x)
+        assert got[3:] == (size, wanted([*((a, b) for _, a, b in e.encode(x)), (size, size)]))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r["doc_id"], r["spans_sha256"]) for r in queries.op4_sentence_pieces(spark, str(tmp_path)).collect()]
+    assert by_key(got) == by_key((r["doc_id"], wanted((p["start"], p["end"]) for p in r["pieces"])) for r in sentence_pieces.pieces(docs).collect())
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf"])
 def test_character_map_equals_the_librarys_normaliser(rule):
     import sentencepiece
