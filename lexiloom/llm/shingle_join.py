@@ -8,9 +8,10 @@ are keys (one difference there). The allotments of a band must add up to more th
 mix is taken follows from a cost model of keys sent and chance candidates met (see allocation). Small
 sets get deletion neighbourhoods, large ones plain subsets.
 
-Sets that share a key are candidates. They are verified exactly, in two rounds so that a group of
-near copies does not cost all its pairs: first every set against the smallest of its key and the
-next two in its key; then only pairs of a key that are not yet in one component. Before whole sets are
+Sets that share a key are candidates. They are verified exactly, in three rounds so that a group of
+near copies does not cost all its pairs: first every set against one other, the smallest of most of its
+keys; then, in keys whose sets are not yet in one component, every set against the key's smallest and
+the next two; then all pairs of such a key that are still apart. Before whole sets are
 compared, an exact lower bound of their difference from folded parity sketches rules most out. Equal
 sets are one class throughout and need no pairs at all. Components are found on the executors, never on
 the driver.
@@ -35,6 +36,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -311,6 +313,113 @@ def passing(pairs: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
     return pairs.mapInArrow(kernel, "a long, b long")
 
 
+class Sketches:
+    """A column of sketches in words of eight bytes."""
+
+    def __init__(self, column: pa.Array):
+        raw = column.cast(pa.large_binary())
+        first, ends = raw.offset, np.frombuffer(raw.buffers()[1], dtype=np.int64)
+        ends = ends[first : first + len(raw) + 1]
+        self.words = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].copy().view(U)
+        self.at, self.size = (ends[:-1] - ends[0]) // 8, np.diff(ends) // 8
+
+    def within(self, x: np.ndarray, y: np.ndarray, most: np.ndarray, held: int = 1 << 19) -> np.ndarray:
+        """Of the pairs (x, y), the numbers of those that differ in at most `most` slots, the larger sketch folded to the smaller one."""
+        found = []
+        kinds = self.size[x] * (1 << 20) + self.size[y]
+        for kind in np.unique(kinds):
+            p, q = divmod(int(kind), 1 << 20)
+            some, w = np.flatnonzero(kinds == kind), min(p, q)
+            step = max(1, held // max(p, q))
+            for part in (some[k : k + step] for k in range(0, len(some), step)):
+                left, right = (np.bitwise_xor.reduce(self.words[self.at[z[part]][:, None] + np.arange(n)].reshape(len(part), -1, w), axis=1) for z, n in ((x, p), (y, q)))
+                found.append(part[np.bitwise_count(left ^ right).sum(1, dtype=np.int64) <= most[part]])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
+def beside(num: int, den: int):
+    """A kernel over rows in the order of (key, block, uid): pairs of a set with the first of its (key, block) and the two before it, if
+    their components differ and the sketches do not rule them out. Three rows are held from batch to batch."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = joined([held, batch]) if held else batch
+            key, block, uid, comp, n = numbers(here, "key", "block", "uid", "comp", "n")
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            x = np.arange(held.num_rows if held else 0, len(new))
+            pairs = np.concatenate([np.stack([x, y]) for y in (first[x], np.maximum(x - 1, first[x]), np.maximum(x - 2, first[x]))], 1)
+            x, y = pairs
+            x, y = pairs[:, (comp[x] != comp[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))]
+            a, b = np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y])
+            one = np.unique(np.stack([a, b]), axis=1, return_index=True)[1]
+            x, y, a, b = x[one], y[one], a[one], b[one]
+            good = Sketches(here.column("sketch")).within(x, y, (n[x] + n[y]) * (den - num) // (den + num))
+            yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64())], names=["a", "b"])
+            last = sorted({int(first[-1]), *range(max(int(first[-1]), len(new) - 2), len(new))})
+            held = here.take(pa.array(last))
+
+    return kernel
+
+
+def across(num: int, den: int):
+    """A kernel over the rows of each (key, i, j), which come together: all pairs in different components that the sizes and the sketches
+    do not rule out; pairs of one block where i = j only."""
+
+    def pairs(group: pa.RecordBatch, tile: int = 256) -> tuple[list, list]:
+        uid, comp, n, block, i, j = numbers(group, "uid", "comp", "n", "block", "i", "j")
+        marks, a, b, place = Sketches(group.column("sketch")), [], [], np.arange(len(uid))
+        for k in range(0, len(n), tile):
+            t = slice(k, k + tile)
+            open_ = (comp[t, None] != comp) & (place[t, None] < place)
+            if i[0] != j[0]:
+                open_ &= block[t, None] != block
+            x, y = np.nonzero(open_)
+            x += k
+            some = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+            x, y = x[some], y[some]
+            good = marks.within(x, y, (n[x] + n[y]) * (den - num) // (den + num))
+            a.append(np.minimum(uid[x[good]], uid[y[good]]))
+            b.append(np.maximum(uid[x[good]], uid[y[good]]))
+        return a, b
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def of(groups: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b, empty = [], [], np.zeros(0, np.int64)
+            for g in groups:
+                if g.num_rows > 1:
+                    x, y = pairs(g)
+                    a += x
+                    b += y
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *a])), pa.array(np.concatenate([empty, *b]))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = joined([*held, batch])
+            key, i, j = numbers(here, "key", "i", "j")
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
+            yield of([here.slice(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)])
+            held = [here.slice(cuts[-1])]
+        if held:
+            yield of(held)
+
+    return kernel
+
+
 def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one task, the smaller root on top."""
     root: dict[int, int] = {}
@@ -376,64 +485,39 @@ def links(docs: DataFrame, table: DataFrame, id_col: str, text_col: str, words:
         two = one.join(sets.select(F.col("uid").alias("b"), F.col("members").alias("y")), "b")
         return materialize(passing(two.select("a", "b", "x", "y"), num, den, exact=True).distinct(), f"{name}-links")
 
-    # Every set against the smallest of each of its keys, and against the next two: of a group of near copies, most come into
-    # one component this way. All keys go by one order, so that these are often the same for many keys.
-    order = Window.partitionBy("key").orderBy("uid")
-    near = shared.withColumn("next", F.lead("uid", 1).over(order)).withColumn("next_but_one", F.lead("uid", 2).over(order))
-    near = near.select("uid", F.explode(F.array("lead", "next", "next_but_one")).alias("other")).where("other is not null and uid != other")
-    first = materialize(fits(near.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct()), "first-pairs")
+    # One pair a set: with the smallest set of one of its keys, the one it shares most keys with. As all keys go by one order, most
+    # members of a group of near copies come into one component this way, at a cost that is linear in the group.
+    chosen = shared.where("uid != lead").groupBy("uid", "lead").agg(F.count("*").alias("times")).groupBy("uid").agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("lead"))
+    first = materialize(fits(chosen.select(F.col("lead").alias("a"), F.col("uid").alias("b"))), "first-pairs")
     found = verified(first, "first")
     label = labels(found)
 
-    def unsettled(label: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members of keys, but for the smallest, with their components; and the keys in which these differ."""
-        at = shared.where("uid != lead").join(label, "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("comp"))
-        return at, at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low != high")
-
-    # What is left: pairs of a key in different components, neither of them the key's smallest.
-    rest, mixed = unsettled(label)
-    mixed = mixed.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
-    left = rest.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "comp", "block").join(known, "uid")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a (key, i, j) come together; pairs of one block are taken where i = j only."""
-        place, held = None, []
-
-        def pairs() -> pa.RecordBatch:
-            uid, comp, n, side = (np.array([h[k] for h in held]) for k in range(4))
-            size = min(len(h[4]) for h in held)
-            marks = np.stack([fold(h[4], size) for h in held])
-            a, b = [], []
-            for k in range(len(held) - 1):
-                rest = slice(k + 1, None)
-                total = n[rest] + n[k]
-                ok = (comp[rest] != comp[k]) & (den * np.minimum(n[rest], n[k]) >= num * np.maximum(n[rest], n[k]))
-                if place[1] != place[2]:
-                    ok &= side[rest] != side[k]
-                at = np.flatnonzero(ok)
-                if at.size:
-                    apart = np.bitwise_count(marks[k + 1 :][at] ^ marks[k]).sum(1, dtype=np.int64)
-                    at = at[apart * (den + num) <= total[at] * (den - num)]
-                    other = uid[k + 1 :][at]
-                    a.append(np.minimum(other, uid[k]))
-                    b.append(np.maximum(other, uid[k]))
-            empty = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *a])), pa.array(np.concatenate([empty, *b]))], names=["a", "b"])
-
-        for batch in batches:
-            for key, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-                if (key, i, j) != place:
-                    if len(held) > 1:
-                        yield pairs()
-                    place, held = (key, i, j), []
-                held.append(row)
-        if len(held) > 1:
-            yield pairs()
-
-    grouped = dealt.select("key", "i", "j", "uid", "comp", "n", "block", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = materialize(grouped.mapInArrow(across, "a long, b long").distinct(), "cross-pairs")
+    def apart(label: DataFrame, least: int) -> DataFrame:
+        """Members of the keys of `least` sets or more whose sets are in different components, with size and sketch, dealt over blocks.
+
+        Of a key, `odd` are the sets outside its largest component: only pairs with one of them are still open. They have the
+        blocks from 0 on, the others those after them."""
+        at = shared.join(label, "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("comp"))
+        parts = at.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        keys = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.max("n").alias("even"), F.sum("n").alias("rows"), F.count("*").alias("comps")).where(f"comps > 1 and rows >= {least}")
+        keys = keys.select("key", "most", F.ceil((F.col("rows") - F.col("even")) / block).cast("int").alias("odds"), F.ceil(F.col("even") / block).cast("int").alias("evens"))
+        at = at.join(keys, "key").withColumn("odd", F.col("comp") != F.col("most"))
+        number = F.when(F.col("odd"), F.pmod(F.xxhash64("uid"), F.col("odds"))).otherwise(F.col("odds") + F.pmod(F.xxhash64("uid"), F.col("evens"))).cast("int")
+        return at.select("key", number.alias("block"), "uid", "comp", "odd", "odds", "evens").join(known, "uid")
+
+    # In keys whose sets are still in different components, each against the first of its block and the two before it.
+    fields = ("key", "block", "other", "uid", "comp", "n", "sketch")
+    some = apart(label, 2).withColumn("block", F.when(F.col("odds") + F.col("evens") > 2, F.col("block")).otherwise(0)).withColumn("other", F.col("block"))
+    few = some.select(*fields).repartition("key", "block").sortWithinPartitions("key", "block", "uid").mapInArrow(beside(num, den), "a long, b long").distinct()
+    again = materialize(few.join(first, ["a", "b"], "left_anti"), "next-pairs")
+    if not again.isEmpty():
+        found = materialize(found.unionByName(verified(again, "next")), "found-links")
+        label = labels(found)
+
+    # What is left: all pairs within a key whose sets are in different components. Of up to four sets, the round before had them all.
+    rest = apart(label, 5).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("odds") + F.when(F.col("odd"), F.col("evens")).otherwise(0) - 1)))
+    dealt = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "uid", "comp", "n", "block", "sketch")
+    second = materialize(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(across(num, den), "a long, b long").distinct(), "cross-pairs")
     if second.isEmpty():
         return label
     return labels(materialize(found.unionByName(verified(second, "cross")), "all-links"))
