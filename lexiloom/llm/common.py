@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -88,16 +90,31 @@ STABLE = re.compile(r"[^\x00-\u036f\u0386-\u03ce\u0400-\u0481\u048a-\u0523\u1e00
 
 
 class Memo(dict):
-    """A dict that computes missing values and is emptied at a size limit; results do not depend on what it holds."""
+    """A dict that computes missing values and is emptied when its keys and values take about `most` bytes; results do not depend on what it holds.
 
-    def __init__(self, compute, limit: int = 400_000, longest: int = 64):
+    Workers are used again by later stages, so an operator's kernel calls alone() first, which empties the memos of the others."""
+
+    every: weakref.WeakSet = weakref.WeakSet()
+    __hash__ = object.__hash__  # for the set above
+
+    def __init__(self, compute, most: int = 48 << 20, longest: int = 64):
         super().__init__()
-        self.compute, self.limit, self.longest = compute, limit, longest
+        self.compute, self.most, self.longest, self.held = compute, most, longest, 0
+        Memo.every.add(self)
 
     def __missing__(self, key):
         value = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.limit:
+            size = sys.getsizeof(key) + sum(map(sys.getsizeof, value) if isinstance(value, tuple) else [sys.getsizeof(value)]) + 104  # of the dict itself
+            if self.held + size > self.most:
                 self.clear()
+                self.held = 0
+            self.held += size
             self[key] = value
         return value
+
+    def alone(self) -> None:
+        for other in list(Memo.every):
+            if other is not self and other:
+                other.clear()
+                other.held = 0

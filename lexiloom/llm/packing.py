@@ -62,7 +62,7 @@ class WordIds:
         self.symbol = byte_symbols()
         self.special = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.memo = Memo(self.word, limit=1_000_000)
+        self.memo = Memo(self.word, most=96 << 20)
 
     def word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize("".join(map(self.symbol.__getitem__, word.encode())))]).tobytes()
@@ -92,7 +92,9 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     end = array("I", [separator]).tobytes()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(path).ids
+        words = word_ids(path)
+        words.memo.alone()
+        ids_of = words.ids
         for b in batches:
             at, rows, ids = [], [], []
             for k, t in enumerate(b.column(1)):

@@ -4,7 +4,9 @@ Rules look at counts of a text and vote good, bad or abstain. Expectation-maximi
 of vote patterns estimates, without labels, how often each rule gives each vote on good and on bad
 documents; the posterior probability of a document's pattern replaces all-must-pass filtering. There
 are at most 3 ** rules patterns, so what reaches the driver is bounded by the number of rules and not
-by the data, and the estimates use every document.
+by the data. The estimates use every document that passes the base test, which are those the verdict is
+about: the base test settles the others, and their votes (two of its measures are rules too) would
+shift the accuracies by cases that never come before the rules.
 
 Defined cases: null text has no words and fails the base test; ids may be null or repeated, every row
 gets its row; an empty table gives an empty result; further input columns are not read by the report
@@ -146,15 +148,16 @@ def with_votes(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([measure(t.as_py() or "") for t in b.column(0)], dtype=np.int64).reshape(-1, 5)
+            found = np.array([measure(t.as_py() or "") for t in b.column(at)], dtype=np.int64).reshape(-1, 5)
             cols = tuple(found[:, k] for k in range(5))
             votes = pa.StructArray.from_arrays([*map(pa.array, cols), pa.array(base_failed(cols[0], cols[4])), pa.array(pattern(cols))], names=[*COUNTS, "base_failed", "pattern"])
-            yield pa.RecordBatch.from_arrays([*(b.column(k + 1) for k in range(len(keep))), votes], names=[*keep, "__q"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], votes], names=[*keep, "__q"])
 
     long = T.LongType()
     votes = T.StructType([*(T.StructField(k, long) for k in COUNTS), T.StructField("base_failed", T.BooleanType()), T.StructField("pattern", long)])
-    text = F.col(text_col).alias("__text")
-    return docs.select(text, *keep).mapInArrow(kernel, T.StructType([*(docs.schema[k] for k in keep), T.StructField("__q", votes)]))
+    sent = [*keep, *([] if text_col in keep else [text_col])]
+    at = sent.index(text_col)
+    return docs.select(*sent).mapInArrow(kernel, T.StructType([*(docs.schema[k] for k in keep), T.StructField("__q", votes)]))
 
 
 def verdicts(voted: DataFrame, threshold: float) -> DataFrame:

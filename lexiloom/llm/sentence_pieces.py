@@ -131,7 +131,7 @@ class Encoder:
             raise ValueError("unused pieces are not supported")
         self.cut = self.cutter(s for s, _, _ in usable if len(s) > 1)
         self.surface = [b"" if kind == CONTROL else self.unknown_surface.encode() if kind == UNKNOWN else bytes([int(s[3:5], 16)]) if kind == BYTE else s.replace(SPACE, " ").encode() for s, _, kind in self.pieces]
-        self.memo = Memo(self.chunk, limit=500_000)
+        self.memo = Memo(self.chunk, most=160 << 20)
 
     @staticmethod
     def cutter(pieces) -> re.Pattern | None:
@@ -302,7 +302,9 @@ def piece_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = encoder(path).digest
+        e = encoder(path)
+        e.memo.alone()
+        digest = e.digest
         for b in batches:
             rows = [digest(t.as_py() or "") for t in b.column(1)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5

@@ -64,7 +64,7 @@ class Shingler:
     def __init__(self, words: int):
         import xxhash
 
-        self.words, self.memo = words, Memo(xxhash.xxh3_64_intdigest, limit=400_000)
+        self.words, self.memo = words, Memo(xxhash.xxh3_64_intdigest)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """The sorted set of each text."""
@@ -252,6 +252,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, b, met = shingler(words), bands(num, den), set()
+        s.memo.alone()
         for batch in batches:
             for first, texts in chunks(batch, 2):
                 sets = s.sets(texts)
@@ -260,7 +261,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
                 for i, x in enumerate(uid):
                     if x is not None and x not in met:
                         fresh.append(i)
-                        if len(met) < 1_000_000:  # only saves rows: classes met again are sent again
+                        if len(met) < 200_000:  # only saves rows: classes met again are sent again
                             met.add(x)
                 keys: list = [None] * len(sets)
                 marks: list = [None] * len(sets)
@@ -279,6 +280,7 @@ def members(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shingler(words)
+        s.memo.alone()
         for batch in batches:
             for _, texts in chunks(batch, 0):
                 sets = [x for x in s.sets(texts) if len(x)]

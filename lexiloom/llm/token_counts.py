@@ -60,7 +60,7 @@ class MergeCounter:
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.marks = special
         self.library = None
-        self.memo = Memo(self.count_word, limit=1_000_000)
+        self.memo = Memo(self.count_word, most=96 << 20)
 
     def count_word(self, word: str) -> int:
         """A heap entry is rank << 32 | position; symbols[i] < 0 marks a position that a merge took away."""
@@ -118,7 +118,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
+        c = counter(path)
+        c.memo.alone()
+        count = c.count
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
             n = pa.array((count(t.as_py()) for t in texts), pa.int64())
