@@ -13,8 +13,8 @@ the best `k + 1` of each query only.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most or have null or
 non-finite components take no part; null ids take no part; equal distances go by the smaller id; rows
-repeated with one id count once per query's list as separate rows; with fewer than k other rows all of
-them are returned; an empty table gives an empty result; further input columns are not read.
+repeated with one id and vector count once; rows that have the query's id are never its neighbours; with
+fewer than k other ids all of them are returned; an empty table gives an empty result; further input columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, ship
+from .common import materialize, salted_join, ship
 
 SAMPLE, TREES, LEAF = 8192, 4, 32
 
@@ -108,9 +108,10 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def folded(rows: DataFrame, keep: int, salts: int = 64) -> DataFrame:
-    """One row per distinct vector: key (its smallest id), v, ids (the `keep` smallest, in order). Ids of a vector are first thinned per salt, map-side first."""
+    """One row per distinct vector: key (its smallest id), v, ids (the `keep` smallest distinct ones, in order). Ids are thinned per vector and salt before a vector's meet."""
     salt = F.pmod(F.xxhash64("id"), F.lit(salts))
-    first = rows.withColumn("s", salt).withColumn("r", F.row_number().over(Window.partitionBy("v", "s").orderBy("id"))).where(F.col("r") <= keep)
+    one_each = rows.select("id", "v", salt.alias("s")).repartition("v", "s").dropDuplicates(["v", "s", "id"])
+    first = one_each.withColumn("r", F.row_number().over(Window.partitionBy("v", "s").orderBy("id"))).where(F.col("r") <= keep)
     few = first.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= keep)
     return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("key"), "v", "ids")
 
@@ -119,8 +120,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", share: float = 0.3, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, block: int = 20_000, seed: int = 42) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest among all other rows."""
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", share: float = 0.3, budget: int | None = None, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, block: int = 20_000, seed: int = 42) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest among all other rows.
+
+    With a `budget`, a query visits leaves of about that many vectors a tree, however many there are, so that the work grows with
+    the queries alone; the sample, and with it the number of leaves, has to grow along for that. `share` is the upper bound then."""
     spark = vectors.sparkSession
     ship(spark)
     rows = usable(vectors, id_col, vec_col)
@@ -129,6 +133,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = materialize(rows.where(F.size("v") == sizes[0]["n"]), "vectors")
     distinct = materialize(folded(rows, k + 1), "distinct-vectors")
+    if budget:
+        share = min(share, budget / max(1, distinct.count()))
     points = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").collect()])  # a bounded sample
     forest = Forest(points, trees, leaf, seed)
     n_leaves = [len(t.sizes) for t in forest.trees]
@@ -199,6 +205,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     merged = close.dropDuplicates(["q", "key"]).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "key"))).where(F.col("r") <= k + 1)
     lists = merged.select("q", "d", F.explode("ids").alias("id")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k + 1)
     lists = lists.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))
-    queries = wanted.select(F.col("id").alias("query_id"), "v").join(asked.withColumnRenamed("key", "q"), "v").join(lists, "q")
+    # Many queries may share a vector: their rows are spread before they meet its list.
+    queries = salted_join(salted_join(wanted.select(F.col("id").alias("query_id"), "v").distinct(), asked.select(F.col("key").alias("q"), "v"), "v").select("query_id", "q"), lists, "q")
     one = queries.select("query_id", F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("pos", "x"))
     return one.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("score"))

@@ -5,9 +5,11 @@ response and the others are revisits that name it. Each task writes one file of
 each, under a name of its own attempt; only the files that finished tasks report are read, so retries
 leave no half records behind.
 
-Reading: every file is cut into byte ranges. A task looks for the gzip magic in its range, decodes the
-head of each candidate member and takes it for a record only if a WARC head comes out, and owns the
-records that start inside its range, reading past its end to finish the last one.
+Reading: every file is cut into byte ranges. A task looks for the gzip magic in its range, decodes each
+candidate member up to the end of its headers and takes it for a record only if these are whole: a version
+line (any version), lines of name and value, and among them a type, an id and a length. It owns the records
+that start inside its range, reading past its end to finish the last one. Archives of other writers are read
+too, with all their kinds of records; read_archives keeps those that carry a key of this writer.
 
 Files are reached through the local file system or any store that pyarrow.fs knows.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +40,9 @@ LEAST_PAYLOAD = 100
 MAGIC = b"\x1f\x8b\x08"
 HEAD = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
+#: What a record begins with in any version of the format, the headers that every record has, and how long they may be.
+VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
+NEEDED, LONGEST_HEAD = ("warc-type", "warc-record-id", "content-length"), 1 << 20
 
 
 def opened(uri: str, mode: str):
@@ -116,7 +122,7 @@ class Member:
     """Decodes one gzip member from a position, reading on in steps."""
 
     def __init__(self, f, at: int, step: int = 1 << 16):
-        self.f, self.at, self.step, self.make = f, at, step, zlib.decompressobj(31)
+        self.f, self.first, self.at, self.step, self.make = f, at, at, step, zlib.decompressobj(31)
         self.out = bytearray()
 
     def more(self) -> bool:
@@ -135,9 +141,16 @@ class Member:
         return True
 
     def is_record(self) -> bool:
-        while len(self.out) < len(HEAD) and self.more():
-            pass
-        return self.out.startswith(HEAD)
+        """Whether the member begins with whole headers of a record; decodes no more than it takes to tell."""
+        while not VERSION.match(self.out):
+            if len(self.out) > 20 or not self.more():
+                return False
+        end = -1
+        while (end := head_end(self.out)) < 0:
+            if len(self.out) > LONGEST_HEAD or not self.more():
+                return False
+        headers = headers_of(bytes(self.out[:end]))
+        return headers is not None and all(headers.get(k) for k in NEEDED) and headers["content-length"].isdigit()
 
     def whole(self) -> bytes:
         while self.more():
@@ -165,28 +178,65 @@ def starts(f, start: int, end: int, window: int = 1 << 20) -> Iterator[Member]:
             at += hit + 1
 
 
-def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, rest = data.partition(END)
-    headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    return headers, rest[: int(headers["Content-Length"])]
+def head_end(data: bytes | bytearray) -> int:
+    """Where the blank line after the headers ends; -1 if there is none yet."""
+    found = [at + len(mark) for mark in (END, b"\n\n") if (at := data.find(mark)) >= 0]
+    return min(found, default=-1)
 
 
-def read_archives(files: DataFrame, id_type: T.DataType, split: int = 8 << 20, tasks: int | None = None) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record; payload digests of responses are recomputed and checked."""
+def headers_of(head: bytes) -> dict[str, str] | None:
+    """Headers by lower-case name; a line that begins with a blank continues the one before. None if a line is neither."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").rstrip("\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon or not name or name != name.strip():
+            return None
+        name = name.lower()
+        out[name] = value.strip()
+    return out
+
+
+def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
+    end = head_end(data)
+    headers = headers_of(data[:end]) or {}
+    return headers, data[end : end + int(headers["content-length"])]
+
+
+#: What is read of any record. payload_digest is of the payload as it stands here; for revisits it is what the record says, as hexadecimal SHA-256.
+RECORD = "path string, offset long, record_type string, record_id string, url string, date string, content_type string, refers_to_id string, block_bytes long, payload_bytes long, payload_digest string, row_key string, refers_to_key string"
+
+
+def described(path: str, offset: int, data: bytes) -> tuple:
+    headers, block = parsed(data)
+    kind, content = headers["warc-type"].lower(), headers.get("content-type", "")
+    if len(block) != int(headers["content-length"]):
+        raise OSError(f"the record {headers['warc-record-id']} is cut off")
+    said = headers.get("warc-payload-digest", "")
+    digest = said.partition(":")[2].lower() if said.lower().startswith("sha256:") else None
+    body = block
+    if content.lower().startswith("application/http"):
+        end = head_end(block)
+        body = block[end:] if end >= 0 else b""
+    if kind == "revisit":
+        own = headers_of(block[: head_end(block)]) if head_end(block) >= 0 else None
+        size = int(own["content-length"]) if own and own.get("content-length", "").isdigit() else None
+    else:
+        size, found = len(body), hashlib.sha256(body).hexdigest()
+        if digest and "x-row-key" in headers and found != digest:
+            raise OSError(f"the payload of {headers['warc-record-id']} is damaged")
+        digest = found
+    return path, offset, kind, headers["warc-record-id"], headers.get("warc-target-uri"), headers.get("warc-date"), content or None, headers.get("warc-refers-to"), len(block), size, digest, headers.get("x-row-key"), headers.get("x-refers-to-key")
+
+
+def read_records(files: DataFrame, split: int = 8 << 20, tasks: int | None = None) -> DataFrame:
+    """Every record of archives (path, bytes) of any writer, in the columns of RECORD; a record that is cut off or damaged stops the read."""
     spark = files.sparkSession
     ship(spark)
     splits = ranges(files, split).repartition(tasks or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    schema = T.StructType([T.StructField("page_id", id_type), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", id_type), T.StructField("url", T.StringType())])
-
-    def row(data: bytes) -> tuple:
-        headers, block = parsed(data)
-        http, _, body = block.partition(END)
-        size = int(next(x[15:] for x in http.decode().split("\r\n") if x.startswith("Content-Length:")))
-        digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha256:"), headers["WARC-Type"]
-        if kind == "response" and (len(body) != size or hashlib.sha256(body).hexdigest() != digest):
-            raise OSError(f"the payload of {headers['WARC-Record-ID']} is damaged")
-        original = headers.get("X-Refers-To-Key")
-        return json.loads(headers["X-Row-Key"]), size, digest, kind, json.loads(original) if original else None, headers["WARC-Target-URI"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -197,8 +247,7 @@ def read_archives(files: DataFrame, id_type: T.DataType, split: int = 8 << 20, t
                 with opened(path, "rb") as f:
                     rows = []
                     for m in starts(f, start, end):
-                        rows.append(row(m.whole()))
-                        # the member's end is where the search goes on
+                        rows.append(described(path, m.first, m.whole()))
                         if len(rows) == 1000:
                             yield batch(rows, kinds)
                             rows = []
@@ -208,9 +257,22 @@ def read_archives(files: DataFrame, id_type: T.DataType, split: int = 8 << 20, t
     def batch(rows: list[tuple], kinds: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
+    schema = T.StructType.fromDDL(RECORD)
     return splits.mapInArrow(kernel, schema)
 
 
+def read_archives(files: DataFrame, id_type: T.DataType, split: int = 8 << 20, tasks: int | None = None) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of the records that this writer made; payload digests of responses are recomputed and checked."""
+    records = read_records(files, split, tasks).where("row_key is not null")
+
+    def key(name: str):
+        # A key is JSON: a number, true or false as it stands, else a string in quotes.
+        text = F.when(F.col(name).startswith('"'), F.from_json(F.concat(F.lit('{"k":'), name, F.lit("}")), "k string")["k"]).otherwise(F.when(F.col(name) != "null", F.col(name)))
+        return text.cast(id_type)
+
+    return records.select(key("row_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to_key").alias("refers_to"), "url")
+
+
 def through_archives(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least: int = LEAST_PAYLOAD, split: int = 8 << 20) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back."""
     files = materialize(write_archives(pages, new_folder(pages.sparkSession, "warc"), id_col, payload_col, url_col, least), "warc-files")

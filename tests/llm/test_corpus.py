@@ -46,6 +46,28 @@ def test_neighbours_of_odd_vectors(spark):
     assert nearest.nearest(df.limit(0)).count() == 0 and nearest.nearest(df.where("vec_id = 200")).count() == 0
 
 
+def test_rows_of_one_id_do_not_push_out_neighbours(spark):
+    rows = [(0, [1.0, 0.0])] * 12 + [(5, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [0.0, 1.0])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 5), (0, 2, 6), (0, 3, 7)]
+
+
+@pytest.mark.parametrize(("kind", "share", "budget"), [("uniform", 0.3, None), ("clustered", 0.1, None), ("clustered", 0.3, 1200)])
+def test_recall_on_more_vectors_than_the_sample(spark, kind, share, budget):
+    r = np.random.default_rng(5)
+    n, dim = 12_000, 24
+    x = r.standard_normal((n, dim)) if kind == "uniform" else r.standard_normal((60, dim))[r.integers(0, 60, n)] * 3 + r.standard_normal((n, dim))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = nearest.nearest(df, share=share, budget=budget, sample=2048).groupBy("query_id").agg({"vec_id": "collect_set"}).collect()
+    assert len(got) == n // 100
+    hits = 0
+    for row in got:
+        d = np.square(x - x[row[0]]).sum(1)
+        d[row[0]] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & set(row[1]))
+    assert hits >= 0.9 * 10 * len(got)
+
+
 def check_packing(rows, wanted, capacity):
     pieces = sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=repr)
     assert pieces == sorted(wanted, key=repr)
@@ -152,6 +174,33 @@ def test_join_equals_brute_force(spark, words, num, den):
     assert sorted(map(tuple, got), key=repr) == sorted(brute_components(texts, words, num, den), key=repr)
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_large_groups_and_shared_passages_equal_brute_force(spark, block, monkeypatch):
+    """Chains of copies that link with their neighbours only, a group around one text, and texts that share a passage: for every round, and for keys that are dealt over blocks."""
+    r = np.random.default_rng(11)
+    texts, at = [], 0
+
+    def add(t):
+        nonlocal at
+        at += 1
+        texts.append((at, t))
+
+    t = prose(50, 120)
+    for k in range(60):
+        add(t := edited(t, 0.012, 1000 + k))
+    base = prose(51, 150)
+    for k in range(60):
+        add(edited(base, float(r.uniform(0.005, 0.06)), 2000 + k))
+    passage = prose(52, 60)
+    for k in range(60):
+        add(passage + " " + prose(3000 + k, int(r.integers(5, 40))))
+    whole = shingle_join.links
+    monkeypatch.setattr(shingle_join, "links", lambda *a, **k: whole(*a, **{**k, "block": block}))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    got = shingle_join.jaccard_components(df, words=4, num=80, den=100).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(texts, 4, 80, 100))
+
+
 def test_keys_of_linked_sets_meet():
     """The pigeonhole, directly: sets at the threshold share a key, for many sizes."""
     r = np.random.default_rng(3)
@@ -204,3 +253,26 @@ def test_pipeline_stages(spark, docs):
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
     packed = c.run(spark, "/root/testdata/sf0.001").collect()
     check_packing(packed, cut([(r["doc_id"], r["text"]) for r in rows], 2048), 2048)
+
+
+def test_pipeline_equals_plain_versions_of_its_stages(spark):
+    import corpus_pipeline as c
+
+    from lexiloom.llm import secret_scans
+
+    from .test_texts import plain_em
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    good = [i for i, (_, failed, quality) in zip(rows, plain_em(rows.values()), strict=True) if not failed and quality >= 0.5]
+    now = c.quality_stage(spark, docs, sf)
+    assert sorted(map(tuple, now.collect()), key=repr) == sorted((tuple(r) for r in docs.collect() if r["doc_id"] in set(good)), key=repr)
+    one = {low for _, _, low in brute_components([(i, rows[i]) for i in good], 5, 80, 100)}
+    now = c.near_duplicate_stage(spark, now, sf)
+    assert {r["doc_id"]: r["text"] for r in now.collect()} == {i: rows[i] for i in one}
+    masked = {i: secret_scans.mask(rows[i]) for i in one}
+    now = c.secrets_stage(spark, now, sf)
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in now.collect()} == {i: (x, len(x)) for i, x in masked.items()}
+    assert any(x != rows[i] for i, x in masked.items()) and not any(secret_scans.scan(x) for x in masked.values())
+    check_packing(c.run(spark, sf).collect(), cut(list(masked.items()), 2048), 2048)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexiloom.llm import chat_formatting as chat
 from lexiloom.llm import sharding, warc
@@ -106,3 +107,43 @@ def test_false_magic_is_not_taken_for_a_record(tmp_path):
             for start in range(0, size, split):
                 found += [warc.parsed(m.whole())[0]["X-Row-Key"] for m in warc.starts(h, start, min(start + split, size))]
         assert found == ["0", "1", "2", "3", "4"]
+
+
+def foreign_record(version: str, kind: str, ident: str, extra: str, block: bytes, newline: str = "\r\n") -> bytes:
+    import gzip
+
+    head = newline.join([f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{ident}>", "WARC-Date:2020-01-01T00:00:00Z", *([extra] if extra else []), f"Content-Length: {len(block)}", "", ""])
+    return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers_are_read(spark, tmp_path):
+    page = b"<p>" + b"x" * 500
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    parts = [
+        foreign_record("1.0", "warcinfo", "a", "", b"software: any\r\n"), foreign_record("1.0", "request", "b", "WARC-Target-URI: http://x/", b"GET / HTTP/1.1\r\n\r\n"),
+        foreign_record("1.0", "response", "c", "WARC-Target-URI:\r\n  http://x/\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:ABC", http + page), foreign_record("1.1", "revisit", "d", "WARC-Refers-To: <urn:uuid:c>\r\nContent-Type: application/http", http),
+        foreign_record("0.18", "metadata", "e", "", b"k: v", newline="\n"), warc.record("7", "u", b"own", hashlib.sha256(b"own").hexdigest(), None),
+    ]
+    # Members that look like records at first: no id, no length, a broken line, a version line alone.
+    import gzip
+
+    noise = [gzip.compress(x) for x in (b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc", b"WARC/1.0\r\nWARC-Type: x\r\nWARC-Record-ID: y\r\n\r\n", b"WARC/1.1\r\nno colon\r\n\r\n", b"WARC/1.1\r\n", b"text")]
+    f = tmp_path / "other.warc.gz"
+    f.write_bytes(b"".join(x for k, p in enumerate(parts) for x in (p, noise[k % len(noise)])))
+    files = spark.createDataFrame([(str(f), f.stat().st_size)], "path string, bytes long")
+    for split in (50, 1 << 20):
+        got = warc.read_records(files, split, tasks=4).collect()
+        assert sorted((r["record_type"], r["record_id"]) for r in got if not r["row_key"]) == [("metadata", "<urn:uuid:e>"), ("request", "<urn:uuid:b>"), ("response", "<urn:uuid:c>"), ("revisit", "<urn:uuid:d>"), ("warcinfo", "<urn:uuid:a>")]
+        assert len(got) == 6
+        by = {r["record_id"]: r for r in got}
+        c = by["<urn:uuid:c>"]
+        assert (c["url"], c["payload_bytes"], c["payload_digest"], c["date"]) == ("http://x/", len(page), hashlib.sha256(page).hexdigest(), "2020-01-01T00:00:00Z")
+        assert by["<urn:uuid:d>"]["refers_to_id"] == "<urn:uuid:c>"
+        own = warc.read_archives(files, spark.createDataFrame([], "k long").schema["k"].dataType, split, tasks=4).collect()
+        assert [tuple(r)[:5] for r in own] == [(7, 3, hashlib.sha256(b"own").hexdigest(), "response", None)]
+
+
+def test_ids_of_any_kind_read_back(spark):
+    pages = spark.createDataFrame([('a"b', "p" * 120), ("ü", "p" * 120), ("12", "q")], "page_id string, html string").withColumn("url", F.lit("u"))
+    got = sorted(tuple(r)[:1] + (r["record_type"], r["refers_to"]) for r in warc.through_archives(pages).collect())
+    assert got == [("12", "response", None), ('a"b', "response", None), ("ü", "revisit", 'a"b')]

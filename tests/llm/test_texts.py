@@ -8,6 +8,7 @@ import lzma
 import re
 import urllib.parse
 import zlib
+from collections import Counter
 
 import public_tokenizers as P
 import pytest
@@ -232,6 +233,65 @@ def test_quality_verdict_on_labels_held_out(spark):
     assert all(r["kept"] for r in got if r["quality"])
 
 
+def fast_measure(text):
+    """brute_measure for long texts: the same definitions, windows counted once."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    times = Counter(windows)
+    covered = {k + j for k, w in enumerate(windows) if times[w] > 1 for j in range(5)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def plain_em(texts):
+    """The verdicts by expectation-maximisation one document at a time, with plain fractions of votes; (counts, base_failed, quality) each."""
+    rows = []
+    for x in texts:
+        m = fast_measure(x or "")
+        n, chars = max(m[0], 1), max(m[1], 1)
+        share = [m[2] / chars, m[2] / n, m[4] / n, m[3] / max(n / 12, 1), m[3] / n, abs(m[1] / n - 5.0), 1 / n]
+        votes = []
+        for v, (good, bad, least) in zip(share, [(0.02, 0.10, 0), (0.05, 0.40, 0), (0.02, 0.15, 20), (0.05, 0.30, 20), (0.005, 0.03, 20), (1.0, 2.0, 0), (0.034, 0.084, 0)], strict=True):
+            votes.append(None if m[0] < least else False if v > bad else True if v <= good else None)
+        rows.append((m, m[0] < 10 or 100 * m[4] > 20 * m[0], votes))
+    judged = [v for _, failed, v in rows if not failed]
+    p = [0.1 if False in v else 0.9 for v in judged]  # the first guess: all must pass
+    right = None
+    for _ in range(200):
+        new = {}
+        for k in range(7):
+            for good in (True, False):
+                w = [(q if good else 1 - q, v[k]) for q, v in zip(p, judged, strict=True) if v[k] is not None]
+                new[k, good] = (sum(q for q, said in w if said is good) + 0.6) / (sum(q for q, _ in w) + 1)
+        prior = (sum(p) + 0.9) / (len(p) + 1)
+        if right and max(abs(new[x] - right[x]) for x in new) < 1e-9:
+            break
+        right = new
+        after = []
+        for v in judged:
+            g, b = prior, 1 - prior
+            for k, said in enumerate(v):
+                if said is not None:
+                    g *= right[k, True] if said else 1 - right[k, True]
+                    b *= 1 - right[k, False] if said else right[k, False]
+            after.append(g / (g + b))
+        p = after
+    p = iter(p)
+    return [(m, failed, None if failed else next(p)) for m, failed, _ in rows]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_verdicts_equal_a_plain_em(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in quality_rules.quality_report(docs).collect()}
+    for r, (m, failed, quality) in zip(rows, plain_em([r["text"] for r in rows]), strict=True):
+        g = got[r["doc_id"]]
+        assert (tuple(g[1:6]), g["base_failed"]) == (m, failed)
+        assert (g["quality"] is None) if failed else g["quality"] == pytest.approx(quality, abs=1e-6)
+        assert g["kept"] == (not failed and quality >= 0.5)
+
+
 def test_rules_that_contradict_the_others_lose_their_veto():
     good, junk, odd = 1 + 3 + 9, 2 + 6 + 9, 1 + 3 + 18  # votes of three rules in base 3
     p = quality_rules.fit({good: 900, junk: 60, odd: 40}, 3)
