@@ -30,7 +30,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality rules", quality_stage), ("n-gram Jaccard join", near_duplicate_stage), ("secret scans", secrets_stage), ("best-fit packing", packing_stage)]
 
-#: Expectation-maximisation, unwrapping and tokenizing have no SQL; tests/llm hold each stage and the whole against brute force.
+#: Expectation-maximisation, unwrapping and tokenizing have no SQL; tests/llm hold each stage and the whole against plain versions on the smallest table.
 ORACLE_SQL = None
 
 
