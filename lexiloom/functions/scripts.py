@@ -32,6 +32,19 @@ def slp1_to_iast(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
 
 
+def slp1_text(text: str) -> str:
+    """iast_to_slp1 of a query."""
+    for a, b in IAST_SLP1.items():
+        text = text.replace(a, b)
+    return text
+
+
+def iast_text(text: str) -> str:
+    """slp1_to_iast of a query."""
+    back = {b: a for a, b in IAST_SLP1.items()}
+    return "".join(back.get(c, c) for c in text)
+
+
 def deva_text(text: str) -> str:
     """A consonant carries a unless a sign or the virama follows."""
     out, pending = [], False

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,9 +91,24 @@ def transliterate(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """Extension dropped, transliterated, lower, runs of other characters to '-', trimmed."""
-    base = F.regexp_replace(c, r"\.[A-Za-z0-9]+$", "")
-    return F.regexp_replace(F.regexp_replace(transliterate(F.lower(base)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """Extension of a corpus file dropped, transliterated, lower, runs of other characters but underscores to '-', trimmed."""
+    base = F.regexp_replace(c, r"(?i)\.(html?|txt|xml)$", "")
+    return F.regexp_replace(F.regexp_replace(transliterate(F.lower(base)), r"[^a-z0-9_]+", "-"), r"^-+|-+$", "")
+
+
+def unique_slugs(files: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
+    """(id, slug): the first file of a slug by id has it bare, the n-th the n-th number that is free; an empty slug is 'source'. A numbered
+    slug that another file has of its own stays with that file, so that the result does not depend on the order of the two."""
+    own = slug(F.col(name_col))
+    rows = files.select(F.col(id_col).alias("id"), F.when(own != "", own).otherwise("source").alias("base"))
+    n = F.row_number().over(Window.partitionBy("base").orderBy("id"))
+    rows = rows.withColumn("n", n)
+    taken = rows.select(F.col("base").alias("slug")).distinct()
+    # Of a base, the numbers that are other files' own slugs are left out: the n-th of its files takes the n-th number that is free.
+    parts = taken.select(F.regexp_extract("slug", r"^(.*)-([0-9]+)$", 1).alias("base"), F.regexp_extract("slug", r"^(.*)-([0-9]+)$", 2).try_cast("int").alias("used")).where("base != '' and used >= 2")
+    used = parts.groupBy("base").agg(F.sort_array(F.collect_set("used")).alias("used"))
+    free = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("n"), lambda k, u: F.when(u <= k, k + 1).otherwise(k))
+    return rows.join(used, "base", "left").select("id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), free.cast("string"))).alias("slug"))
 
 
 def natural_key(c: Column, width: int = 10) -> Column:
@@ -119,3 +134,29 @@ def kwic(text: Column, terms: list[str], width: int = 40) -> Column:
         cut = F.concat(F.when(start > 1, "…").otherwise(""), F.substr(text, start, stop - start), F.when(stop <= F.length(text), "…").otherwise(""))
         out = F.when(at > 0, cut).otherwise(out)
     return F.when(F.length(text) == 0, F.lit("")).otherwise(out)
+
+
+def kwic_parts(text: Column, terms: list[str], width: int = 40) -> Column:
+    """Struct (before, match, after) around the first term, in query order, that occurs; ellipses where the text is cut. Without a term
+    or a hit, the text's head is in `after`; an empty text gives empty parts."""
+
+    def parts(before: Column, match: Column, after: Column) -> Column:
+        return F.struct(before.alias("before"), match.alias("match"), after.alias("after"))
+
+    none = F.lit("")
+    head = F.substring(text, 1, 2 * width)
+    if not terms:
+        return F.when(F.length(text) > 0, parts(none, none, head)).otherwise(parts(none, none, none))
+    out = parts(none, none, F.concat(head, F.when(F.length(text) > 2 * width, "…").otherwise("")))
+    for term in reversed(terms):
+        at, n = F.locate(term.lower(), F.lower(text)), len(term)
+        start, stop = F.greatest(F.lit(1), at - width), at + n + width
+        before = F.concat(F.when(start > 1, "…").otherwise(""), F.substr(text, start, at - start))
+        after = F.concat(F.substr(text, at + n, F.lit(width)), F.when(stop <= F.length(text), "…").otherwise(""))
+        out = F.when(at > 0, parts(before, F.substr(text, at, F.lit(n)), after)).otherwise(out)
+    return F.when(F.length(text) > 0, out).otherwise(parts(none, none, none))
+
+
+def request_hash(*parts: Column) -> Column:
+    """SHA-256 of fields joined by bars; null fields are left out."""
+    return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)

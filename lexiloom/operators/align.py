@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sanskrit as K
+
 
 def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
@@ -43,38 +45,51 @@ def multiset_join(left: DataFrame, right: DataFrame, group: str, key: str, order
     return both.withColumn("status", F.when(F.col("left_at").isNull(), "right_only").when(F.col("right_at").isNull(), "left_only").otherwise("matched"))
 
 
-def skeleton(c: Column) -> Column:
-    """Consonants of ASCII letters, nasals as m, without y and v."""
-    return F.regexp_replace(F.translate(c, "n", "m"), "[^bcdfghjklmpqrstwxz]", "")
+def ratio_of(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """pairs with score: the matching-block ratio of two texts, which has no built-in."""
 
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
 
-def ascii_key(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^a-z]", "")
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
+    return pairs.withColumn("score", ratio(left, right))
 
-def tiers(left: DataFrame, right: DataFrame, guard: float = 0.70) -> DataFrame:
-    """Best match of each left key: equal key, else equal skeleton with likeness 1 - distance / longer over the guard. First tier wins."""
-    exact = left.join(right, left["left_key"] == right["right_key"]).withColumn("tier", F.lit(1)).withColumn("score", F.lit(1.0))
-    by_bones = left.withColumn("bones", skeleton(F.col("left_key"))).join(right.withColumn("bones", skeleton(F.col("right_key"))), "bones").where("left_key <> right_key and bones <> ''")
-    far = F.levenshtein("left_key", "right_key")
-    near = by_bones.withColumn("tier", F.lit(2)).withColumn("score", 1.0 - far / F.greatest(F.length("left_key"), F.length("right_key"))).where(F.col("score") >= guard).drop("bones")
-    return first_per_key(exact.unionByName(near), ["left_id"], ["tier", F.desc("score"), "right_key", "right_id"])
 
+def reachable(left: Column, right: Column, least: float) -> Column:
+    """Whether texts of these lengths can have a ratio of `least`: no more characters match than the shorter one has."""
+    a, b = F.length(left), F.length(right)
+    return 2 * F.least(a, b) >= least * (a + b)
 
-def fuzzy_prefix(left: DataFrame, right: DataFrame, prefix: int = 10, cutoff: float = 0.90) -> DataFrame:
-    """Pairs with a common prefix whose matching-block ratio reaches the cutoff; the best of each left key. The ratio has no built-in."""
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+def tiers(left: DataFrame, right: DataFrame, guard: float = 0.70, prefix: int = 10, cutoff: float = 0.90) -> DataFrame:
+    """The best partner of each left line by its key: (left_id, right_id, tier, score, n_right).
+
+    Tier exact: equal keys. Else sandhi: equal skeletons, the key with the highest matching-block ratio, if that reaches the
+    guard. Else fuzzy: a common prefix, the key with the highest ratio from the cutoff on. Empty keys have no partner.
+    n_right counts the right lines of the key that was found (more than one: ambiguous), right_id is the smallest.
+
+    left: (left_id, left_key), right: (right_id, right_key). Keys are compared once each, however many lines have them, and
+    only lines that a tier leaves over go to the next, so a common line costs no more than a rare one."""
+    keys = right.where("right_key <> ''").groupBy("right_key").agg(F.min("right_id").alias("right_id"), F.count("*").alias("n_right"))
+    asked = left.where("left_key <> ''").select("left_key").distinct()
+    exact = asked.join(keys.withColumn("left_key", F.col("right_key")), "left_key").select("left_key", "right_key", "right_id", "n_right", F.lit("exact").alias("tier"), F.lit(1.0).alias("score"))
+    open_ = asked.join(exact.select("left_key"), "left_key", "left_anti")
 
-    def head(c: str) -> Column:
-        return F.substring(c, 1, prefix)
+    def best(pairs: DataFrame, least: float, tier: str, tie: str) -> DataFrame:
+        scored = ratio_of(pairs.where(reachable(F.col("left_key"), F.col("right_key"), least)), "left_key", "right_key").where(F.col("score") >= least)
+        top = F.max_by(F.struct("right_key", "right_id", "n_right", "score"), F.struct("score", tie))
+        return scored.groupBy("left_key").agg(top.alias("b")).select("left_key", "b.right_key", "b.right_id", "b.n_right", F.lit(tier).alias("tier"), "b.score")
 
-    met = left.withColumn("p", head("left_key")).join(right.withColumn("p", head("right_key")), "p").where(f"length(p) = {prefix}")
-    scored = met.withColumn("score", ratio("left_key", "right_key")).where(F.col("score") >= cutoff).drop("p")
-    return first_per_key(scored, ["left_id"], [F.desc("score"), "right_key", "right_id"])
+    bones = keys.withColumn("bones", K.skeleton(F.col("right_key")))
+    met = open_.withColumn("bones", K.skeleton(F.col("left_key"))).join(bones, "bones").drop("bones").withColumn("first", -F.col("right_id"))
+    sandhi = best(met, guard, "sandhi", "first")
+    still = open_.join(sandhi.select("left_key"), "left_key", "left_anti")
+    heads = still.withColumn("p", F.substring("left_key", 1, prefix)).join(keys.withColumn("p", F.substring("right_key", 1, prefix)), "p").drop("p")
+    fuzzy = best(heads, cutoff, "fuzzy", "right_key")
+    every = exact.unionByName(sandhi).unionByName(fuzzy)
+    return left.join(every, "left_key").select("left_id", "right_id", "tier", "score", "n_right")
 
 
 def as_of(rows: DataFrame, boundaries: DataFrame, group: str, at: str, value: str) -> DataFrame:
@@ -90,9 +105,15 @@ def as_of(rows: DataFrame, boundaries: DataFrame, group: str, at: str, value: st
 
 
 def phrase_matches(docs: DataFrame, phrases: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Leftmost-longest, non-overlapping occurrences of many phrases by an automaton built once per task."""
+    """Leftmost-longest, non-overlapping occurrences of many phrases by an automaton built once per task; none of no phrases."""
     import pyarrow as pa
 
+    phrases = sorted({p for p in phrases if p})
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {kind}, phrase string, place long"
+    if not phrases:
+        return docs.sparkSession.createDataFrame([], schema)
+
     def kernel(batches):
         import ahocorasick
 
@@ -109,5 +130,4 @@ def phrase_matches(docs: DataFrame, phrases: list[str], id_col: str = "doc_id",
                     places.append(end - len(p) + 1)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(places, pa.int64())], names=[id_col, "phrase", "place"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(kernel, f"{id_col} {kind}, phrase string, place long")
+    return docs.select(id_col, text_col).mapInArrow(kernel, schema)

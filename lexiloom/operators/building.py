@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions import sanskrit as K
 
 
 def entries(lines: DataFrame, group: str, start: Column) -> DataFrame:
@@ -90,32 +91,28 @@ def blocks(a: DataFrame, b: DataFrame, group: str) -> DataFrame:
     return a.groupBy(group).cogroup(b.groupBy(group)).applyInArrow(kernel, f"{group} {kind}, tokens long, matched long, confirmed boolean")
 
 
-def cover(gold: list[str], words: list[str]) -> list[int] | None:
-    """Greedy cover: the number of gold pieces that make up each word in turn; None unless all fit."""
-    out, at = [], 0
-    for w in words:
-        start, made = at, ""
-        while len(made) < len(w) and at < len(gold):
-            made += gold[at]
-            at += 1
-        if made != w:
-            return None
-        out.append(at - start)
-    return out if at == len(gold) else None
-
-
 def gold_to_words(rows: DataFrame) -> DataFrame:
-    """rows: (id, gold array, words array); adds pieces, null where the cover fails."""
+    """rows: (id, gold array of forms, words array); adds pieces, the number of gold forms that make up each word, null unless all fit.
 
-    def kernel(batches):
-        import pyarrow as pa
+    Forms are compared folded, so that what changes where words meet does not count, and like vowels that meet are one. A fold
+    over the gold forms: each goes to the first word that is not whole yet; a word is whole when the forms given to it spell it,
+    and a form that takes it past its length fails the row. Words without a letter take no form."""
+    targets = F.transform("words", lambda w: K.seam(K.fold_sandhi(w)))
+    lettered = F.filter("targets", lambda t: t != "")
+    start = F.struct(F.lit("").alias("made"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"), F.lit(True).alias("ok"))
 
-        for b in batches:
-            got = [cover(g, w) if g is not None and w is not None else None for g, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["id", "pieces"])
+    def step(s, form):
+        made, n = F.concat(s["made"], form), s["n"] + 1
+        target, spelt = F.get(F.col("lettered"), F.size(s["out"])), K.seam(made)
+        whole = F.coalesce(spelt == target, F.lit(False))
+        ok = s["ok"] & (whole | F.coalesce(F.length(spelt) < F.length(target), F.lit(False)))
+        return F.struct(F.when(whole, "").otherwise(made).alias("made"), F.when(whole, 0).otherwise(n).alias("n"), F.when(whole, F.concat(s["out"], F.array(n))).otherwise(s["out"]).alias("out"), ok.alias("ok"))
 
-    schema = T.StructType([rows.schema["id"], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
-    return rows.select("id", "gold", "words").mapInArrow(kernel, schema)
+    folded = rows.select("id", "words", F.transform("gold", lambda g: K.fold_sandhi(g)).alias("forms"), targets.alias("targets")).withColumn("lettered", lettered)
+    done = folded.withColumn("s", F.aggregate("forms", start, step))
+    fits = F.col("s.ok") & (F.col("s.n") == 0) & (F.size("s.out") == F.size("lettered")) & (F.size("words") > 0) & (F.size("forms") > 0)
+    place = lambda t, k: F.when(t == "", 0).otherwise(F.get(F.col("s.out"), F.size(F.filter(F.slice("targets", 1, k + 1), lambda x: x != "")) - 1))
+    return done.select("id", F.when(fits, F.transform("targets", place)).alias("pieces"))
 
 
 def monotone_notes(rows: DataFrame, group: str, gap: int = 8) -> DataFrame:
@@ -128,3 +125,19 @@ def monotone_notes(rows: DataFrame, group: str, gap: int = 8) -> DataFrame:
         return F.struct(F.when(ok, x["number"]).otherwise(acc["last"]).cast("long").alias("last"), F.when(ok, F.concat(acc["taken"], F.array(x["pos"].cast("long")))).otherwise(acc["taken"]).alias("taken"))
 
     return ordered.select(group, F.aggregate("xs", start, step, lambda acc: acc["taken"]).alias("taken"))
+
+
+def concatenate_ranges(ranges: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """ranges (range_id, group, lo, hi) with the texts (group, seq, text) between their ends, in order and joined by blanks, and how many.
+
+    Ranges are short and are spread over their numbers, so the join is an equi-join; a range without a row is kept with none."""
+    spread = ranges.withColumn("seq", F.explode(F.sequence("lo", "hi")))
+    met = spread.join(rows.select(group, "seq", "text"), [group, "seq"]).groupBy("range_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("xs"))
+    return ranges.select("range_id").join(met, "range_id", "left").select("range_id", F.coalesce(F.array_join(F.transform("xs", lambda x: x["text"]), " "), F.lit("")).alias("body"), F.coalesce(F.size("xs"), F.lit(0)).alias("n"))
+
+
+def prompt(rows: DataFrame, key: str, label: str, order: str) -> DataFrame:
+    """(key, prompt): the texts of a key in order, each on a line with its label. One cell of the result holds them all."""
+    line = F.concat(F.lit("["), F.col(label), F.lit("] "), F.col("text"))
+    by = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, line.alias("line")))).alias("xs"))
+    return by.select(key, F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("prompt"))

@@ -29,11 +29,14 @@ def alphabet_index(entries: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def letter_page(entries: DataFrame, letter: str, page: int, size: int) -> DataFrame:
-    """One page of a letter; the page is clamped to those there are. Ranks come from a top-k of what pages up to this one hold."""
+    """One page of a letter; the page is clamped to those there are. The entries are counted, then a top-k of what pages up to
+    this one hold gives the rows; only those are ranked."""
     mine = entries.where(bucket(F.col("headword")) == letter)
-    counted = mine.withColumn("__n", F.row_number().over(Window.orderBy("headword", "entry_id"))).withColumn("__pages", F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy(F.lit(1))) / size)))
-    at = F.least(F.greatest(F.lit(page), F.lit(1)), F.col("__pages"))
-    return counted.withColumn("page", at.cast("int")).where((F.col("__n") > (F.col("page") - 1) * size) & (F.col("__n") <= F.col("page") * size)).drop("__n", "__pages")
+    pages = max(1, -(-mine.count() // size))
+    at = min(max(page, 1), pages)
+    upto = mine.orderBy("headword", "entry_id").limit(at * size)
+    ranked = upto.withColumn("__n", F.row_number().over(Window.orderBy("headword", "entry_id")))  # at most page * size rows
+    return ranked.where(F.col("__n") > (at - 1) * size).withColumn("page", F.lit(at)).drop("__n")
 
 
 def prefix_lookup(entries: DataFrame, prefix: str, per_dictionary: int) -> DataFrame:
@@ -95,10 +98,11 @@ def name_index(votes: DataFrame) -> DataFrame:
 
 
 def merge_plurals(tokens: DataFrame) -> DataFrame:
-    """Stems (a final s off) to one lemma: the smallest plural, else the smallest."""
-    stem = F.regexp_replace("token", "s$", "")
+    """Stems (a final s off) to one lemma: the smallest plural, else the smallest. Tokens are folded to distinct ones first."""
+    tokens = tokens.select("token").distinct()
+    stem = F.when(F.col("token").endswith("s"), F.expr("substring(token, 1, length(token) - 1)")).otherwise(F.col("token"))
     plural = F.min(F.when(F.col("token").endswith("s"), F.col("token")))
-    return tokens.groupBy(stem.alias("stem")).agg(F.coalesce(plural, F.min("token")).alias("lemma"), F.countDistinct("token").alias("members"))
+    return tokens.groupBy(stem.alias("stem")).agg(F.coalesce(plural, F.min("token")).alias("lemma"), F.count("*").alias("members"))
 
 
 def any_of(parts: list[Column]) -> Column:

@@ -72,3 +72,8 @@ def quota_sample(docs: DataFrame, stratum: str, quota: int, seed: str = "759") -
     """The `quota` rows of each stratum that come first by md5 of seed and id; both engines agree on it."""
     order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string"))), "doc_id")
     return docs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= quota)
+
+
+def symbols(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """(symbol, n): the characters of all texts with their number."""
+    return rows.select(F.explode(F.split(text_col, "")).alias("symbol")).where("symbol <> ''").groupBy("symbol").agg(F.count("*").alias("n"))

@@ -64,3 +64,55 @@ def validate_ingest(lines: DataFrame, sources: DataFrame) -> DataFrame:
     dup = lines.groupBy("source_slug", "canonical_id").count().where("count > 1").agg(F.count("*").alias("duplicate_ids"))
     empty = sources.join(lines.select(F.col("source_slug").alias("slug")).distinct(), "slug", "left_anti").agg(F.count("*").alias("empty_sources"))
     return missing.crossJoin(dup).crossJoin(empty)  # three single rows
+
+
+def manifest_faults(sources: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """(fault, slug): what is wrong with a bundle's list of sources (pos, slug, path, sort_order, record_count, bytes) and its totals
+    (source_count, record_count, canonical_bytes): duplicate slugs and paths, an order that is not by sort_order and slug, sums."""
+    from pyspark.sql import Window
+
+    def repeated(name: str) -> DataFrame:
+        return sources.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(f"duplicate_{name}").alias("fault"), F.col(name).cast("string").alias("slug"))
+
+    before = F.lag(F.struct("sort_order", "slug")).over(Window.orderBy("pos"))  # a dimension: one row a source
+    order = sources.withColumn("before", before).where(F.col("before") > F.struct("sort_order", "slug")).select(F.lit("order").alias("fault"), "slug")
+    sums = sources.agg(F.count("*").alias("source_count"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("record_count"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("canonical_bytes"))
+    wrong = sums.select(F.explode(F.array_compact(F.array(*(F.when(F.col(k) != v, F.lit(f"total_{k}")) for k, v in totals.items())))).alias("fault"), F.lit(None).cast("string").alias("slug"))
+    return repeated("slug").unionByName(repeated("path")).unionByName(order).unionByName(wrong)
+
+
+def file_faults(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """(fault, slug): sources (slug, path, bytes, sha256) whose file among `files` (path, length, content; as binaryFile reads them) is
+    missing, has another size or another content."""
+    held = files.select("path", "length", F.sha2("content", 256).alias("found"))
+    met = sources.join(held, "path", "left")
+    fault = F.when(F.col("found").isNull(), "missing").when(F.col("length") != F.col("bytes"), "size").when(F.col("found") != F.col("sha256"), "sha256")
+    return met.select(fault.alias("fault"), "slug").where("fault is not null")
+
+
+def legacy_map(lines: DataFrame, version: str) -> DataFrame:
+    """Ordinal places of a corpus with their canonical ids, pinned to the version they hold for; a place with several lines is left out."""
+    by = lines.where(F.coalesce("canonical_id", F.lit("")) != "").groupBy("source_slug", "line_num").agg(F.count("*").alias("n"), F.min("canonical_id").alias("pinned_id"))
+    return by.where("n = 1").select("source_slug", "line_num", F.lit(version).alias("corpus_version"), "pinned_id")
+
+
+def backfill(refs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Stored references (ref_id, source_slug, line_num, remembered) with the canonical id of their line, bound only if the line still
+    holds the remembered text: status bound, text_differs, ambiguous or missing."""
+    at = lines.groupBy("source_slug", "line_num").agg(F.count("*").alias("n"), F.min(F.struct("canonical_id", "line_text")).alias("l"))
+    met = refs.join(at, ["source_slug", "line_num"], "left")
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").when(F.contains("l.line_text", "remembered"), "bound").otherwise("text_differs")
+    return met.withColumn("status", status).select("ref_id", "status", F.when(F.col("status") == "bound", F.col("l.canonical_id")).alias("canonical_id"))
+
+
+def by_status(resolved: DataFrame, every: tuple[str, ...] = ("canonical", "legacy_mapped", "legacy_direct", "ambiguous", "orphan")) -> DataFrame:
+    """(status, n) of resolutions, 0 for a status that none has."""
+    names = resolved.sparkSession.createDataFrame([(k,) for k in every], "status string")
+    return names.join(resolved.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def run_groups(ids: DataFrame, least: int = 3) -> DataFrame:
+    """(work, bare, members): passages of which `least` or more stand under letters, as (work, passage, annotated); none of which is annotated."""
+    s = ids.withColumn("bare", F.regexp_replace("passage", "([0-9])[a-z]$", "$1")).where(F.col("passage") != F.col("bare"))
+    by = s.groupBy("work", "bare").agg(F.count("*").alias("members"), F.bool_or("annotated").alias("a"))
+    return by.where((F.col("members") >= least) & ~F.col("a")).select("work", "bare", "members")

@@ -18,11 +18,6 @@ def entry_continuation(spark, d):
     return B.entries(A.page_lines(spark, d), "page_id", F.col("line").rlike("<(h1|h2|p)[ >]")).withColumn("body", F.md5("body"))
 
 
-@query(head(VERSIONS, "v AS (SELECT *, max(hi) OVER (PARTITION BY chapter ORDER BY lo, hi, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM versions WHERE work = 3)") + "SELECT chapter, row_id, CASE WHEN lo > upto + 1 THEN 'gap' ELSE 'overlap' END AS fault FROM v WHERE lo > upto + 1 OR lo <= upto")
-def mapping_validation(spark, d):
-    return B.mapping_faults(_versions(spark, d).where("work = 3"), "chapter").select("chapter", "row_id", "fault")
-
-
 @query("SELECT lang, source, n, (coalesce(sum(n) OVER (PARTITION BY lang ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS offset FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)".replace(" AS offset", ' AS "offset"'))
 def slice_offsets(spark, d):
     return B.offsets(A.table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")), "lang", "source")
@@ -35,13 +30,6 @@ def annotates_fallback(spark, d):
     return B.annotated(c, p)
 
 
-@query("WITH a AS (SELECT doc_id, text AS x FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN upper(text) ELSE text END AS y FROM documents WHERE doc_id % 11 <> 0) SELECT count(*) AS n, count(*) FILTER (x IS NOT DISTINCT FROM y) AS same, count(*) FILTER (x IS NULL) AS added, count(*) FILTER (y IS NULL) AS lost FROM a FULL JOIN b USING (doc_id)")
-def roundtrip_rate(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", "text")
-    after = docs.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text")))
-    return B.roundtrip(docs.where("doc_id % 7 <> 0"), after, ["doc_id"], "text")
-
-
 @query("SELECT lang, doc_id, used::BIGINT AS used FROM (SELECT lang, doc_id, sum(n_chars) OVER (PARTITION BY lang ORDER BY md5('20261029:' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 20000")
 def token_budget_sample(spark, d):
     return B.budget_sample(A.table(spark, d, "documents").select("lang", "doc_id", "n_chars"), "lang", "n_chars", 20000).select("lang", "doc_id", "used")
@@ -62,40 +50,6 @@ def latest_state(spark, d):
     return B.latest(A.table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id").select("user_id", "event_id", "event_type")
 
 
-@query()
-def hymn_alignment(spark, d):
-    t = A.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.words(F.col("text"))).alias("pos", "token"))
-    a, b = (t.where(F.col("turn") == k).select("conv_id", "pos", "token") for k in (0, 2))
-    return B.blocks(a, b, "conv_id").where("tokens > 0")
-
-
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN length(w) = 0 THEN 0 WHEN length(w) <= 3 THEN 1 ELSE 2 END), ',') END AS pieces FROM part")
-def gold_word_cover(spark, d):
-    """Words cut into pieces of three letters and the rest; every fifth has a piece too many, so its cover fails."""
-    words = F.split("p_name", " ")
-    gold = F.flatten(F.transform(words, lambda w: F.filter(F.array(F.substring(w, 1, 3), F.regexp_replace(w, "^.{1,3}", "")), lambda x: x != "")))
-    rows = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, F.concat(gold, F.array(F.lit("zz")))).otherwise(gold).alias("gold"), words.alias("words"))
-    return B.gold_to_words(rows).select("id", F.array_join(F.transform("pieces", lambda v: v.cast("string")), ",").alias("pieces"))
-
-
-@query("WITH RECURSIVE x AS (SELECT l_suppkey AS g, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS pos, l_quantity::INT AS number FROM lineitem WHERE l_orderkey < 300), f(g, pos, last, taken) AS (SELECT DISTINCT g, 0::BIGINT, 0, []::BIGINT[] FROM x UNION ALL SELECT x.g, x.pos, CASE WHEN number > last AND number <= last + 8 THEN number ELSE last END, CASE WHEN number > last AND number <= last + 8 THEN list_append(taken, x.pos) ELSE taken END FROM f JOIN x ON x.g = f.g AND x.pos = f.pos + 1) SELECT g, array_to_string(arg_max(taken, pos), ',') AS taken FROM f GROUP BY g")
-def endnote_starts(spark, d):
-    """Over a part of the table that the recursive SQL can follow; endnote_starts_all has the whole."""
-    return _starts(A.table(spark, d, "lineitem").where("l_orderkey < 300"))
-
-
-@query()
-def endnote_starts_all(spark, d):
-    return _starts(A.table(spark, d, "lineitem"))
-
-
-def _starts(lines):
-    from pyspark.sql import Window
-
-    x = lines.select(F.col("l_suppkey").alias("g"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")).alias("pos"), F.col("l_quantity").cast("long").alias("number"))
-    return B.monotone_notes(x, "g").select("g", F.array_join(F.transform("taken", lambda v: v.cast("string")), ",").alias("taken"))
-
-
 _SLP = "lower(p_name)"
 for _a, _b in S.IAST_SLP1.items():
     _SLP = f"replace({_SLP}, '{_a}', '{_b}')"
@@ -119,56 +73,7 @@ def zero_pad_passages(spark, d):
     return ids.select("passage", S.zero_pad(F.col("passage")).alias("padded"))
 
 
-@query("SELECT conv_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1")
-def compare_prompt(spark, d):
-    t = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("["), "role", F.lit("] "), "text").alias("line")))).alias("xs"))
-    return t.select("conv_id", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("prompt"))
-
-
-@query("SELECT event_id, sha256(concat_ws('|', event_type, user_id::VARCHAR, floor(epoch(ts))::BIGINT::VARCHAR)) AS request_hash FROM events")
-def request_hash(spark, d):
-    return A.table(spark, d, "events").select("event_id", F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")), 256).alias("request_hash"))
-
-
-@query(r"SELECT page_id, regexp_replace(html, '(?is)<nav[^>]*>.*?</nav>', '', 'g') AS kept FROM pages")
-def language_block_filter(spark, d):
-    return A.table(spark, d, "pages").select("page_id", F.regexp_replace("html", "(?is)<nav[^>]*>.*?</nav>", "").alias("kept"))
-
-
-@query("WITH f AS (SELECT source, regexp_matches(text, '\\n') AS m, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT source AS slug, bool_or(m) AS parallel FROM f WHERE k <= 10 GROUP BY 1")
-def parallel_sources(spark, d):
-    from pyspark.sql import Window
-
-    f = A.table(spark, d, "documents").select("source", F.col("text").rlike("\n").alias("m"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("k"))
-    return f.where("k <= 10").groupBy(F.col("source").alias("slug")).agg(F.bool_or("m").alias("parallel"))
-
-
-@query("SELECT url, ('0x' || md5(url)[1:15])::BIGINT % 8 AS shard FROM pages WHERE length(html) > 2000 AND url LIKE 'https%'")
-def crawl_select(spark, d):
-    p = A.table(spark, d, "pages").where((F.length("html") > 2000) & F.col("url").startswith("https"))
-    return p.select("url", (F.conv(F.substring(F.md5("url"), 1, 15), 16, 10).cast("long") % 8).alias("shard"))
-
-
-@query(head(SEGMENTS) + "SELECT group_id, string_agg(text, ' ' ORDER BY seq) AS body, count(*) AS n FROM seg WHERE seq BETWEEN 1 AND 3 GROUP BY group_id")
-def range_concatenate(spark, d):
-    s = A.segments(spark, d).where("seq between 1 and 3").groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("xs"), F.count("*").alias("n"))
-    return s.select("group_id", F.array_join(F.transform("xs", lambda x: x["text"]), " ").alias("body"), "n")
-
-
 @query(r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}]+')) AS t FROM documents) SELECT lang, count(*) AS tokens, count(*) FILTER (regexp_matches(t, '^\p{Lu}')) AS capitals, count(DISTINCT lower(t)) AS forms FROM w JOIN documents USING (doc_id) GROUP BY lang")
 def counts_report(spark, d):
     w = A.table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0)).alias("t"))
     return w.groupBy("lang").agg(F.count("*").alias("tokens"), F.count_if(F.col("t").rlike(r"^\p{Lu}")).alias("capitals"), F.countDistinct(F.lower("t")).alias("forms"))
-
-
-@query("WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS symbol FROM benchmark) SELECT symbol FROM c WHERE symbol <> ''")
-def symbol_inventory(spark, d):
-    return A.table(spark, d, "benchmark").select(F.explode(F.split("text", "")).alias("symbol")).where("symbol <> ''").distinct()
-
-
-@query("SELECT c_custkey, coalesce('user' || NULLIF(c_custkey % 4, 0), 'anon') AS name, CASE WHEN c_acctbal < 0 THEN 'restricted' WHEN c_mktsegment = 'BUILDING' THEN 'open' ELSE 'unknown' END AS rights FROM customer")
-def metadata_rules(spark, d):
-    c = A.table(spark, d, "customer")
-    name = F.coalesce(F.concat(F.lit("user"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 4).cast("string")), F.lit("anon"))
-    rights = F.when(F.col("c_acctbal") < 0, "restricted").when(F.col("c_mktsegment") == "BUILDING", "open").otherwise("unknown")
-    return c.select("c_custkey", name.alias("name"), rights.alias("rights"))

@@ -196,13 +196,6 @@ def adjacent_translation(spark, d):
 # -- joins ----------------------------------------------------------------------------------------------
 
 
-@query("WITH r AS (SELECT l_orderkey AS k, min(l_linenumber) AS right_id FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1), l AS (SELECT o_orderkey AS left_id, o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0) SELECT left_id, coalesce(l.k, r.k) AS k, right_id, CASE WHEN left_id IS NULL THEN 'orphan' WHEN right_id IS NULL THEN 'left_only' ELSE 'matched' END AS status FROM l FULL JOIN r ON l.k = r.k")
-def align_left_join_report(spark, d):
-    left = A.table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("left_id"), F.col("o_orderkey").alias("k"))
-    right = align.first_per_key(A.table(spark, d, "lineitem").where("l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("right_id")), ["k"], ["right_id"])
-    return align.align_left(left, right, "k")
-
-
 def _versions(spark, d):
     return A.table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("work"), (F.col("l_orderkey") % 18 + 1).cast("int").alias("chapter"), F.col("l_linenumber").alias("lo"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 4).cast("int").alias("hi"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"))
 
@@ -226,35 +219,6 @@ def gold_token_range_join(spark, d):
     return p.join(g, "l_orderkey").where("token between passage and hi").select("l_orderkey", "token", "passage")
 
 
-_KEYS = r"l AS (SELECT doc_id AS left_id, regexp_replace(lower(text[1:60]), '[^a-z]', '', 'g') AS left_key FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id AS right_id, regexp_replace(lower(text[1:60]), '[^a-z]', '', 'g') AS right_key FROM documents WHERE doc_id % 2 = 1), b AS (SELECT *, regexp_replace(translate(left_key, 'n', 'm'), '[^bcdfghjklmpqrstwxz]', '', 'g') AS bones FROM l), c AS (SELECT *, regexp_replace(translate(right_key, 'n', 'm'), '[^bcdfghjklmpqrstwxz]', '', 'g') AS bones FROM r), m AS (SELECT left_id, left_key, right_id, right_key, 1 AS tier, 1.0::DOUBLE AS score FROM l JOIN r ON left_key = right_key UNION ALL SELECT left_id, left_key, right_id, right_key, 2, 1.0 - levenshtein(left_key, right_key) / greatest(length(left_key), length(right_key))::DOUBLE FROM b JOIN c USING (bones) WHERE left_key <> right_key AND bones <> '')"
-
-
-def _sides(spark, d):
-    """Even documents against odd ones, by the letters at their start."""
-    docs = A.table(spark, d, "documents").select("doc_id", align.ascii_key(F.substring("text", 1, 60)).alias("key"))
-    return docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("left_id"), F.col("key").alias("left_key")), docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("right_id"), F.col("key").alias("right_key"))
-
-
-@query(head(_KEYS) + "SELECT left_id, right_id, tier, score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY tier, score DESC, right_key, right_id) AS n FROM m WHERE tier = 1 OR score >= 0.7) WHERE n = 1")
-def tiered_match_exact_skeleton(spark, d):
-    return align.tiers(*_sides(spark, d)).select("left_id", "right_id", "tier", "score")
-
-
-@query()
-def tiered_match_fuzzy(spark, d):
-    return align.fuzzy_prefix(*_sides(spark, d)).select("left_id", "right_id", "score")
-
-
-_TOKENS = r"t AS (SELECT conv_id, turn, unnest(w) AS token, unnest(range(0, len(w)))::INT AS pos FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations WHERE turn IN (0, 1))), a AS (SELECT conv_id, token, pos AS left_at, row_number() OVER (PARTITION BY conv_id, token ORDER BY pos) AS occurrence FROM t WHERE turn = 0), b AS (SELECT conv_id, token, pos AS right_at, row_number() OVER (PARTITION BY conv_id, token ORDER BY pos) AS occurrence FROM t WHERE turn = 1)"
-
-
-@query(head(_TOKENS) + "SELECT conv_id, token, occurrence::INT AS occurrence, left_at, right_at, CASE WHEN left_at IS NULL THEN 'right_only' WHEN right_at IS NULL THEN 'left_only' ELSE 'matched' END AS status FROM a FULL JOIN b USING (conv_id, token, occurrence)")
-def multiset_token_join(spark, d):
-    t = A.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.words(F.col("text"))).alias("at", "token"))
-    a, b = (t.where(F.col("turn") == k).select("conv_id", "token", "at") for k in (0, 1))
-    return align.multiset_join(a, b, "conv_id", "token", "at").select("conv_id", "token", "occurrence", "left_at", "right_at", "status")
-
-
 @query("SELECT e.event_id, o.value AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) o ON e.user_id = o.user_id AND e.ts >= o.ts WHERE e.event_type = 'view'")
 def asof_header_lookup(spark, d):
     e = A.table(spark, d, "events")
@@ -329,14 +293,6 @@ def ingest_validation(spark, d):
 # -- quality --------------------------------------------------------------------------------------------
 
 
-@query(head("i AS (SELECT 'w' || l_suppkey % 10 AS work, l_orderkey % 50 || '.' || l_linenumber || CASE l_quantity::INT % 5 WHEN 0 THEN 'b' WHEN 1 THEN 'c' ELSE '' END AS passage FROM lineitem WHERE l_linestatus = 'F')", "s AS (SELECT *, regexp_extract(passage, '[0-9]([a-z])$', 1) AS suffix, regexp_replace(passage, '([0-9])[a-z]$', '\\1') AS bare FROM i)", "u AS (SELECT work, count(*) AS n_suffixed, count(*) FILTER ((work, bare) NOT IN (SELECT (work, passage) FROM i)) AS no_base, count(*) FILTER (suffix > 'b') AS deep FROM s WHERE suffix <> '' GROUP BY work)") + "SELECT *, (SELECT sum(n_suffixed) FROM u) >= 30 AND n_suffixed > 0.6 * (SELECT sum(n_suffixed) FROM u) AS concentrated FROM u")
-def dup_suffix_audit(spark, d):
-    li = A.table(spark, d, "lineitem").where("l_linestatus = 'F'")
-    q = F.col("l_quantity").cast("int") % 5
-    ids = li.select(F.concat(F.lit("w"), F.col("l_suppkey") % 10).alias("work"), F.concat(F.col("l_orderkey") % 50, F.lit("."), F.col("l_linenumber"), F.when(q == 0, "b").when(q == 1, "c").otherwise("")).alias("passage"))
-    return quality.suffix_audit(ids)
-
-
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', ' ', 'g'), '(?is)<small[^>]*>.*?</small>', '', 'g'), '<[^>]*>', '', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages")
 def html_strip_tags(spark, d):
     return A.table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
@@ -352,13 +308,6 @@ def html_tag_census(spark, d):
     return quality.tag_census(A.table(spark, d, "pages"))
 
 
-@query("WITH s AS (SELECT p_partkey AS id, trim(regexp_replace(lower(regexp_replace(p_name, '\\.[A-Za-z0-9]+$', '')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part) SELECT id, slug || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS n FROM s)")
-def slug_derive_unique(spark, d):
-    s = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.slug(F.col("p_name")).alias("slug"))
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("id"))
-    return s.select("id", F.concat("slug", F.when(n == 1, "").otherwise(F.concat(F.lit("-"), n.cast("string")))).alias("slug"))
-
-
 @query(r"SELECT lang, regexp_matches(text, '\p{Latin}') AS has_latin, regexp_matches(text, '\p{Cyrillic}') AS has_cyrillic, regexp_matches(text, '\p{Devanagari}') AS has_devanagari, count(*) AS docs FROM documents GROUP BY ALL")
 def script_census(spark, d):
     flags = quality.script_flags(F.col("text"))
@@ -370,12 +319,6 @@ def mixed_script_tokens(spark, d):
     return quality.mixed_tokens(A.table(spark, d, "documents"))
 
 
-@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, split_part(regexp_extract(html, '<title>([^<]*)', 1), ' ', 1) AS first_word, regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) AS lang, regexp_extract(url, '^https?://([^/]*)', 1) AS host FROM pages")
-def title_parse(spark, d):
-    title = F.regexp_extract("html", "<title>([^<]*)", 1)
-    return A.table(spark, d, "pages").select("page_id", title.alias("title"), F.split_part(title, F.lit(" "), F.lit(1)).alias("first_word"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("lang"), F.regexp_extract("url", "^https?://([^/]*)", 1).alias("host"))
-
-
 @query("WITH p AS (SELECT item_id AS doc_id, text[1:12] AS read, 'FIXED ' || item_id AS instead FROM benchmark), j AS (SELECT doc_id, d.text, read, instead, (length(d.text) - length(replace(d.text, read, ''))) // length(read) AS c FROM documents d JOIN p USING (doc_id)) SELECT doc_id, CASE WHEN c = 1 THEN 'applied' WHEN c = 0 AND contains(text, instead) THEN 'already' WHEN c = 0 THEN 'missing' ELSE 'ambiguous' END AS status, CASE WHEN c = 1 THEN replace(text, read, instead) ELSE text END AS fixed FROM j")
 def errata_apply(spark, d):
     p = A.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.substring("text", 1, 12).alias("read"), F.concat(F.lit("FIXED "), F.col("item_id").cast("string")).alias("instead"))
@@ -560,12 +503,6 @@ def spend_policy_ladder(spark, d):
 # -- catalogue, exports ---------------------------------------------------------------------------------
 
 
-@query(r"SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, string_agg(DISTINCT regexp_extract(html, '<html lang=\"([a-z]*)\"', 1), ',' ORDER BY regexp_extract(html, '<html lang=\"([a-z]*)\"', 1)) AS langs, count(*) AS n_pages FROM pages GROUP BY 1")
-def catalog_merge(spark, d):
-    p = A.table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/]*)", 1).alias("host"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("lang"))
-    return p.groupBy("host").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.count("*").alias("n_pages"))
-
-
 @query("SELECT lang, source, grouping(lang, source)::INT AS level, count(*) AS docs, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
 def catalog_report(spark, d):
     docs = A.table(spark, d, "documents")
@@ -577,16 +514,6 @@ def catalog_top(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n_words"), "source").orderBy(F.desc("n_words"), "doc_id").limit(25)
 
 
-@query("SELECT s_suppkey, n_name, coalesce(CASE n_name WHEN 'FRANCE' THEN 1789 WHEN 'INDIA' THEN -300 END, CASE WHEN r_name = 'ASIA' THEN -100 WHEN r_name = 'EUROPE' THEN 900 END, 0)::INT AS year, CASE WHEN n_name LIKE 'I%' THEN 'i-group' WHEN r_name = 'EUROPE' THEN 'west' ELSE 'rest' END AS rule_group FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def chronology_dating(spark, d):
-    manual = spark.createDataFrame([("FRANCE", 1789), ("INDIA", -300)], "n_name string, by_name int")
-    by_region = spark.createDataFrame([("ASIA", -100), ("EUROPE", 900)], "r_name string, by_region int")
-    s = A.table(spark, d, "supplier").join(A.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(A.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    dated = s.join(manual, "n_name", "left").join(by_region, "r_name", "left")
-    group = F.when(F.col("n_name").startswith("I"), "i-group").when(F.col("r_name") == "EUROPE", "west").otherwise("rest")
-    return dated.select("s_suppkey", "n_name", F.coalesce("by_name", "by_region", F.lit(0)).alias("year"), group.alias("rule_group"))
-
-
 _CELL = r"trim(regexp_replace(coalesce({}, ''), '[\t\r\n]+', ' ', 'g'))"
 
 
@@ -616,12 +543,6 @@ def sitemap_urls(spark, d):
     return export.sitemap(s)
 
 
-@query("SELECT DISTINCT source AS slug FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 20 = 3)")
-def resumable_pending(spark, d):
-    docs = A.table(spark, d, "documents")
-    return docs.select(F.col("source").alias("slug")).distinct().join(docs.where("doc_id % 20 = 3").select(F.col("source").alias("slug")).distinct(), "slug", "left_anti")
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -15,7 +15,23 @@ def windowed_counts(events: DataFrame, key: str, window: str = "1 hour", late: s
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming frame over what is there now and return its result as a table."""
+    """Run a streaming frame over what is there now and return its result as a table; the result is kept on the driver, so it is for small ones."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Run a streaming aggregate over what is there now and return its result, which executors write as Parquet under `folder`.
+
+    Each batch writes the rows it has updated under its own number, so that a batch that is run again replaces its own files;
+    of each key the row of the last batch holds."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/rows/n={n}")
+
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    others = [c for c in stream.columns if c not in keys]
+    rows = stream.sparkSession.read.option("recursiveFileLookup", "true").parquet(f"{folder}/rows")  # the folders' numbers are no column
+    return rows.groupBy(*keys).agg(F.max(F.struct("batch", *others)).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in others))

@@ -177,8 +177,148 @@ def test_transliteration(spark):
     assert [r[0] for r in mixed.select(S.unmix(F.col("t"))).collect()] == ["карма", "home", "дом"]
 
 
-def test_greedy_cover_fails_whole():
+def test_cover_fails_whole(spark):
     from lexiloom.operators import building as B
 
-    assert B.cover(["a", "b", "c"], ["ab", "c"]) == [2, 1]
-    assert B.cover(["a", "b"], ["ab", "c"]) is None and B.cover(["a", "x"], ["a"]) is None and B.cover([], []) == []
+    cases = [(["a", "b", "c"], ["ab", "c"], [2, 1]), (["a", "b"], ["ab", "c"], None), (["a", "x"], ["a"], None), ([], [], None), (["manasā", "api"], ["manasāpi"], [2]), (["samāyuktaḥ"], ["samāyukto", "||"], [1, 0]), (["vāc", "vidām"], ["vāgvidāṃ"], [2]), (None, ["a"], None)]
+    df = spark.createDataFrame([(k, g, w) for k, (g, w, _) in enumerate(cases)], "id int, gold array<string>, words array<string>")
+    assert {r["id"]: r["pieces"] for r in B.gold_to_words(df).collect()} == {k: x for k, (_, _, x) in enumerate(cases)}
+
+
+def test_keys_keep_the_letters_of_romanised_sanskrit(spark):
+    from lexiloom.functions import sanskrit as K
+
+    df = spark.createDataFrame([("Śaṅkara ṭīkā 1.2 ||",), ("saṃgṛhya",), ("saṅgṛhya",), ("ṁ a\u0304",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(K.norm_iast(F.col("t")), K.skeleton(K.norm_iast(F.col("t")))).collect()]
+    assert got == [("śaṅkaraṭīkā", "śmkrṭk"), ("saṃgṛhya", "smgh"), ("saṅgṛhya", "smgh"), ("ṃā", "m"), ("", "")]
+    more = spark.createDataFrame([("dharmakṣetre । kurukṣetre ॥ 1 ॥",)], "t string")
+    assert more.select(K.half_verses(F.col("t"))).first()[0] == ["dharmakṣetre", "kurukṣetre"]
+    lemmas = spark.createDataFrame([("kṛṣṇa",), ("k\ufffdp",), ("",), (None,)], "t string")
+    assert [r[0] for r in lemmas.select(K.clean_lemma(F.col("t"))).collect()] == ["kfzRa", None, None, None]
+    assert spark.createDataFrame([("evaM। 12 pArTAH",)], "t string").select(K.clean_slp1(F.col("t")), K.join_key(F.col("t"))).first() == ("evaM pArTAH", "evam। 12 pArTAs")
+
+
+def test_slugs(spark):
+    names = ["bhagavadgita-smirnov.html", "06_mahabharata-bhishmaparva.html", "01_rigveda.html", "Словарь Смирнова.txt", "Эрман-Темкин.txt", "Рамаяна 3. Словарь.txt", "x.pdf", ".html"]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    assert [r[0] for r in df.orderBy("id").select(X.slug(F.col("name"))).collect()] == ["bhagavadgita-smirnov", "06_mahabharata-bhishmaparva", "01_rigveda", "slovar-smirnova", "erman-temkin", "ramayana-3-slovar", "x-pdf", ""]
+    clash = spark.createDataFrame(list(enumerate(["a", "a", "a", "a-2", "a-4", "a", ".txt", ".xml"])), "id int, name string")
+    assert [r["slug"] for r in X.unique_slugs(clash).orderBy("id").collect()] == ["a", "a-3", "a-5", "a-2", "a-4", "a-6", "source", "source-2"]
+
+
+def test_references_are_undone_and_anchors_found(spark):
+    from lexiloom.functions import markup as M
+
+    df = spark.createDataFrame([("a &amp; b &lt;i&gt; &#1072;&#x431; &amp;lt;",), ("a<br>b <small>c</small>d<a href='#' class='comment_sub'>1</a>",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(M.searchable(F.col("t"))).collect()] == ["a & b <i> аб &lt;", "a b d", "plain", None]
+    anchors = ["comment_1_2", "comment_1_2a", "comment_1_0", "comment_1_2_3", "comment_1_2-5", "comment_1_2a–c", "comment_1_1.3", "comment_c_4", "chapter_3C", "comment_1_2;", "comment_7_8б и далее", "note"]
+    got = [r[0] for r in spark.createDataFrame([(k, a) for k, a in enumerate(anchors)], "k int, a string").orderBy("k").select(M.comment_target(F.col("a"))).collect()]
+    assert got == ["1.2", "1.2a", "c.1", "1.2", "1.2", "1.2a", "1.1", "c.c", "c.3", "1.2", "7.8б", None]
+    blocks = spark.createDataFrame([('<span class="translation_author">Санджая$:</span>сказал <span class="iast_author">x</span>',), ("no author",)], "t string")
+    assert [tuple(r) for r in blocks.select(M.author(F.col("t")), M.without_author(F.col("t"))).collect()] == [("Санджая", "сказал "), (None, "no author")]
+
+
+def test_nested_comments_and_titles(spark):
+    from lexiloom.operators import conversion as C
+
+    line = '<div class="citation_block" id="1.1"><div class="comments"><div class="comment_item" id="comment_1_1">a <div>b <div>c</div></div> d</div><div class="comment_item" id="x">e</div></div></div>'
+    got = spark.createDataFrame([(line,), ("none",)], "t string").select(C.comment_items(F.col("t"))).collect()
+    assert [[tuple(x) for x in r[0]] for r in got] == [[("comment_1_1", "a <div>b <div>c</div></div> d"), ("x", "e")], []]
+    titles = spark.createDataFrame([("Махабхарата VI. 1. 3-6", "06_mahabharata-x"), ("Махабхарата VI. 1. 3-6", "other"), ("Гитаговинда, 1. 11-12", "g"), ("Appendix", "g")], "t string, w string")
+    assert [r[0] for r in titles.select(C.titled_passage(F.col("t"), F.col("w"))).collect()] == ["6.1.3-6", "1.3-6", "1.11-12", None]
+
+
+def test_reader_languages_and_addresses(spark):
+    from lexiloom.functions import markup as M
+    from lexiloom.operators import reader as R
+
+    both = '<div class="chapter_block iast">sa</div><div class="chapter_block translation">ru</div>'
+    assert [M.normalize_lang(x) for x in (" RU ", "sa", "de", "", None)] == ["ru", "sa", None, None, None]
+    r = spark.createDataFrame([(both,)], "h string").select(M.only_language(F.col("h"), "ru"), M.only_language(F.col("h"), "sa"), M.only_language(F.col("h"), None), M.is_parallel(F.col("h")), M.is_parallel(F.lit(None).cast("string"))).first()
+    assert tuple(r) == ('<div class="chapter_block translation">ru</div>', '<div class="chapter_block iast">sa</div>', both, True, False)
+    assert R.variant_url("https://x/", "a b", "1.1", "ru") == "https://x/sources/a%20b?highlight=1.1&lang=ru" and R.variant_url("", "s") == "/sources/s"
+    assert [a["url"] for a in R.alternates("", "s", True)] == ["/sources/s", "/sources/s?lang=ru", "/sources/s?lang=sa"] and R.alternates("", "s", False) == []
+    sources = spark.createDataFrame([(1, "a", 2), (2, "b", 1), (3, "1", 3)], "source_id int, slug string, sort_order int")
+    assert [sorted(r["slug"] for r in R.resolve_filter(sources, t).collect()) for t in (["a"], ["2"], ["1"], ["zzz"], [])] == [["a"], ["b"], ["1"], ["1", "a", "b"], ["1", "a", "b"]]
+
+
+def test_dictionary_queries_in_any_script():
+    from lexiloom.operators import dictionary as D
+
+    assert D.query_keys(" धर्म ") == {"raw": "धर्म", "iast": "dharma", "slp1": "Darma"}
+    assert D.query_keys("Darma") == {"raw": "Darma", "slp1": "Darma", "iast": "dharma"}
+    assert D.query_keys("kṛṣṇa")["slp1"] == "kfzRa" and D.query_keys(" ") == {"raw": ""}
+
+
+def test_scan_stops_where_a_reader_would(corpus):
+    hits, stats = search.search_regex_scan(*corpus, ["foo|карма|pit"], max_rows=3)
+    assert found(hits) == ["b:1", "b:3"] and tuple(stats.first()) == (4, True, True)
+    hits, stats = search.search_regex_scan(*corpus, ["foo|карма|pit"], limit=2)
+    assert found(hits) == ["b:1", "b:3"] and tuple(stats.first()) == (3, False, False)
+    hits, stats = search.search_regex_scan(*corpus, ["nothing"])
+    assert found(hits) == [] and tuple(stats.first()) == (6, False, False)
+    assert found(search.dispatch(*corpus, "foo\n", mode="regex")[0]) == ["a:2", "a:2h"] and found(search.dispatch(*corpus, "krsna")[0]) == ["a:1"]
+    with pytest.raises(ValueError, match="unknown mode"):
+        search.dispatch(*corpus, "x", mode="other")
+
+
+def test_stored_norm_gives_the_same_hits(corpus):
+    lines, sources = corpus
+    for spec in (search.SearchSpec("krsna\nfoo ba"), search.SearchSpec("карма", whole_word=True), search.SearchSpec("kṛṣṇa", fold_diacritics=False)):
+        assert found(search.search_plain(search.with_norm(lines, spec.fold_diacritics), sources, spec)) == found(search.search_plain(lines, sources, spec))
+
+
+def test_snippets_exports_and_overview(spark, corpus):
+    df = spark.createDataFrame([("x" * 50 + " beta " + "y" * 50 + " alpha",), ("",), ("q" * 90,)], "t string")
+    got = [tuple(r[0]) for r in df.select(X.kwic_parts(F.col("t"), ["beta"])).collect()]
+    assert got == [("…" + "x" * 39 + " ", "beta", " " + "y" * 39 + "…"), ("", "", ""), ("", "", "q" * 80 + "…")]
+    assert search.export_filename("foo: bar/б", "csv") == "foo_bar_б.csv" and search.export_filename("///", "json") == "search.json"
+    text = search.overview_text(search.search_plain(*corpus, search.SearchSpec("a\nк")), "a", elapsed_ms=260)
+    assert text.split("\n")[0] == "Запрос: «a» · 2 записей · 2 источников · 0,3 с" and len(text.split("\n")) == 3
+    assert search.source_ids_of(None) is None and search.source_ids_of("") == () and search.source_ids_of("1, 2") == (1, 2)
+
+
+def test_conllu_rules_and_surface(spark):
+    from lexiloom.operators import annotation as N
+
+    def row(i, form="f", lemma="l", upos="NOUN", feats="_", head="_", misc="_", deps="_"):
+        return [i, form, lemma, upos, "_", feats, head, "_", deps, misc]
+
+    good = [["1-2", "ab", *"________"], row("1", "a"), row("2", "b"), row("3", "c")]
+    cases = [("1", "ab c", good), ("2", "x", good), ("3", "a", [row("1", "a"), row("3", "a")]), ("4", "a", [["1", "a"]]), ("5", "a", [row("1", "a", upos="")]), ("6", "a", [row("1", "a", feats="x y")]), ("7", "a", [row("1", "a", head="h")]), ("8", "", good), ("1", "ab c", good), ("9", "a", []), ("10", "ab", [row("1", "a", misc="SpaceAfter=No"), row("2", "b")]), ("11", "f", [["2-1", "f", *"________"]]), ("12", "f", [["1-1", "f", "x", *"_______"]])]
+    df = spark.createDataFrame([("f", k, *c) for k, c in enumerate(cases)], "file string, pos int, sent_id string, text string, rows array<array<string>>")
+    got = sorted((r["sent_id"], r["code"], r["place"]) for r in N.conllu_faults(df).collect())
+    assert got == sorted([("2", "E8", 0), ("3", "E2", 2), ("3", "E8", 0), ("4", "E1", 1), ("5", "E4", 1), ("6", "E5", 1), ("7", "E6", 1), ("8", "E7", 0), ("1", "E7", 0), ("9", "E7", 0), ("11", "E2", 1), ("12", "E2", 1), ("12", "E3", 1)])
+
+
+def test_published_versions_roll_back(spark, tmp_path):
+    root = f"file://{tmp_path}/pub2"
+    with pytest.raises(ValueError, match="nothing is published"):
+        export.read_published(spark, root)
+    assert export.publish(spark.range(3), root, "1") == 3 and export.publish(spark.range(5), root, "2") == 5
+    assert export.roll_back(spark, root) == "1" and export.read_published(spark, root).count() == 3
+
+
+def test_stream_to_files_equals_batch(spark, tmp_path):
+    e = spark.sql("SELECT id AS event_id, id % 3 AS user_id, timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 7) AS ts FROM range(200)")
+    e.repartition(4).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    got = windows.run_to_files(windows.windowed_counts(stream, "user_id"), str(tmp_path / "out"), ["window_start", "user_id"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, windows.windowed_counts(e, "user_id").collect()))
+
+
+def test_manifest_files_are_hashed(spark, tmp_path):
+    import hashlib
+
+    for k, data in (("a", b"one"), ("b", b"two")):
+        (tmp_path / k).write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    path = {r["path"].rsplit("/", 1)[1]: r["path"] for r in files.select("path").collect()}
+    rows = [("a", path["a"], 3, hashlib.sha256(b"one").hexdigest()), ("b", path["b"], 3, "0"), ("c", path["b"], 4, "0"), ("d", "nowhere", 1, "0")]
+    got = refs.file_faults(spark.createDataFrame(rows, "slug string, path string, bytes long, sha256 string"), files).collect()
+    assert sorted(map(tuple, got)) == [("missing", "d"), ("sha256", "b"), ("size", "c")]
+
+
+def test_no_phrases_match_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert align.phrase_matches(docs, []).count() == 0 and align.phrase_matches(docs, ["", "b"]).count() == 1
