@@ -184,25 +184,40 @@ def head_end(data: bytes | bytearray) -> int:
     return min(found, default=-1)
 
 
-def headers_of(head: bytes) -> dict[str, str] | None:
-    """Headers by lower-case name; a line that begins with a blank continues the one before. None if a line is neither."""
-    out: dict[str, str] = {}
+class Headers(dict):
+    """Headers by name, in whatever case it is written."""
+
+    def __setitem__(self, name: str, value: str) -> None:
+        super().__setitem__(name.lower(), value)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(str(name).lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
+def headers_of(head: bytes) -> Headers | None:
+    """Headers by name; a line that begins with a blank continues the one before. None if a line is neither."""
+    out = Headers()
     name = None
     for line in head.decode("utf-8", "replace").replace("\r\n", "\n").rstrip("\n").split("\n")[1:]:
         if line[:1] in (" ", "\t") and name:
-            out[name] += " " + line.strip()
+            out[name] = f"{out[name]} {line.strip()}".strip()
             continue
         name, colon, value = line.partition(":")
         if not colon or not name or name != name.strip():
             return None
-        name = name.lower()
         out[name] = value.strip()
     return out
 
 
-def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
+def parsed(data: bytes) -> tuple[Headers, bytes]:
     end = head_end(data)
-    headers = headers_of(data[:end]) or {}
+    headers = headers_of(data[:end])
     return headers, data[end : end + int(headers["content-length"])]
 
 
