@@ -292,7 +292,7 @@ def _verse_lines(spark, d):
 
 @query(
     head(_VERSES, "sides AS (SELECT work, line_no, 'sa' AS seg, passage, CASE WHEN p_partkey % 4 <> 1 THEN name ELSE '' END AS text, p_brand AS author, NULL AS annotates, false AS needs_review FROM q UNION ALL SELECT work, line_no, 'ru', passage, p_type || ' <' || p_partkey || '>', NULL, NULL, false FROM q)",
-         "n AS (SELECT work, line_no, p_partkey % 5 = 0 AS lost, CASE WHEN p_partkey % 5 = 0 THEN 'c.0.p' || row_number() OVER (PARTITION BY work, p_partkey % 5 = 0 ORDER BY line_no) WHEN p_partkey % 5 IN (1, 4) THEN passage ELSE raw END AS annotates, 'note in ' || p_brand AS text FROM q WHERE p_partkey % 3 = 0)", "m AS (SELECT *, row_number() OVER (PARTITION BY work, annotates ORDER BY line_no) AS m FROM n)")
+         "n AS (SELECT work, line_no, p_partkey % 5 = 0 AS lost, CASE WHEN p_partkey % 5 = 0 THEN 'c.0.p' || row_number() OVER (PARTITION BY work, p_partkey % 5 = 0 ORDER BY line_no) WHEN p_partkey % 5 IN (1, 4) OR p_partkey % 89 = 0 THEN passage ELSE raw END AS annotates, 'note in ' || p_brand AS text FROM q WHERE p_partkey % 3 = 0)", "m AS (SELECT *, row_number() OVER (PARTITION BY work, annotates ORDER BY line_no) AS m FROM n)")
     + "SELECT work || ':' || passage || '#' || seg AS id, work || ':' || passage AS \"group\", seg, text, author, annotates, needs_review FROM sides UNION ALL SELECT work || ':' || annotates || '.comm' || m, work || ':' || annotates, 'comm' || m, text, NULL, annotates, lost FROM m"
 )
 def canonical_verses(spark, d):

@@ -322,3 +322,10 @@ def test_manifest_files_are_hashed(spark, tmp_path):
 def test_no_phrases_match_nothing(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert align.phrase_matches(docs, []).count() == 0 and align.phrase_matches(docs, ["", "b"]).count() == 1
+
+
+def test_each_tier_has_its_partners(spark):
+    left = [(1, "dharmakṣetre"), (2, "saṃgṛhya"), (3, "abhijñānaśākuntalamx"), (4, "nothing"), (5, ""), (6, "dharmakṣetre"), (7, "kmr"), (8, "sukhatantronacālasaḥ")]
+    right = [(10, "dharmakṣetre"), (11, "dharmakṣetre"), (12, "saṅgṛhya"), (13, "abhijñānaśākuntalamz"), (14, "abhijñānaśākuntalamxx"), (15, ""), (16, "kāmaraiḥāūuuuu"), (17, "sukhatantraḥnacaalasaḥ")]
+    got = align.tiers(spark.createDataFrame(left, "left_id int, left_key string"), spark.createDataFrame(right, "right_id int, right_key string")).collect()
+    assert {r["left_id"]: (r["right_id"], r["tier"], r["n_right"]) for r in got} == {1: (10, "exact", 2), 6: (10, "exact", 2), 2: (12, "sandhi", 1), 3: (14, "fuzzy", 1), 8: (17, "sandhi", 1)}
