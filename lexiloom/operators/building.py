@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sanskrit as K
+from .ranks import values_at
 
 
 def entries(lines: DataFrame, group: str, start: Column) -> DataFrame:
@@ -47,24 +48,30 @@ def roundtrip(before: DataFrame, after: DataFrame, key: list[str], value: str) -
 
 
 def budget_sample(rows: DataFrame, stratum: str, size: str, budget: int, seed: str = "20261029") -> DataFrame:
-    """Rows of each stratum, by md5 of seed and id, while their sizes fit the budget."""
-    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string"))), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    """Rows of each stratum, by md5 of seed and id, while their sizes fit the budget.
+
+    Sums by the first three digits of the md5 tell which rows can be within the budget; only these are put in order."""
+    mark = F.md5(F.concat(F.lit(seed + ":"), F.col("doc_id").cast("string")))
+    marked = rows.withColumn("__m", mark).withColumn("__b", F.substring("__m", 1, 3))
+    sums = marked.groupBy(stratum, "__b").agg(F.sum(size).alias("__s"))  # at most 4096 rows a stratum
+    before = F.sum("__s").over(Window.partitionBy(stratum).orderBy("__b")) - F.col("__s")
+    near = sums.withColumn("__before", before).where(F.col("__before") <= budget).select(stratum, "__b", "__before")
+    w = Window.partitionBy(stratum, "__b").orderBy("__m", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = marked.join(near, [stratum, "__b"]).withColumn("used", F.col("__before") + F.sum(size).over(w))
+    return run.where(F.col("used") <= budget).drop("__m", "__b", "__before")
 
 
 def landmarks(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """First, middle (n div 2, from 0) and last row of each group."""
-    w = Window.partitionBy(group)
-    at = rows.withColumn("k", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
-    return at.where("k = 0 or k = n div 2 or k = n - 1")
+    """First, middle (n div 2, from 0) and last row of each group by a numeric column without equal values: (group, order, k, n)."""
+    n = F.col("n")
+    at = values_at(rows, [group], order, {"first": F.lit(0), "middle": F.floor(n / 2), "last": n - 1})
+    every = F.array(*(F.struct(F.col(name).alias("v"), k.cast("long").alias("k")) for name, k in (("first", F.lit(0)), ("middle", F.floor(n / 2)), ("last", n - 1))))
+    return at.select(group, "n", F.explode(F.array_distinct(every)).alias("p")).select(group, F.col("p.v").alias(order), F.col("p.k").alias("k"), "n")
 
 
 def nearest_rank(df: DataFrame, value: str, group: str, share: float) -> DataFrame:
-    """Nearest-rank percentile per group, from counts per distinct value."""
-    counts = df.groupBy(group, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group)
-    run = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    return run.where(F.col("upto") >= F.ceil(F.col("n") * share)).groupBy(group).agg(F.min(value).alias("value"), F.max("n").alias("n"))
+    """Nearest-rank percentile per group."""
+    return values_at(df, [group], value, {"value": F.ceil(F.col("n") * share) - 1}).select(group, "value", "n")
 
 
 def latest(rows: DataFrame, key: str) -> DataFrame:

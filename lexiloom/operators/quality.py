@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import values_at
+
 TAGS = ("p", "a", "li", "h1", "h2", "div", "script", "style", "nav")
 
 
@@ -62,10 +64,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def index_percentiles(df: DataFrame, value: str, parts: dict[str, tuple[int, int]]) -> DataFrame:
-    """Values at index n * a div b of the sorted values, not interpolated. Ranks come from counts per distinct value, so nothing but those is sorted together."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(1))))
-    return run.agg(*(F.min(F.when(F.col("upto") > F.floor(F.col("n") * a / b), F.col(value))).alias(name) for name, (a, b) in parts.items()), F.max("n").alias("n"))
+    """Values at index n * a div b of the sorted values, not interpolated."""
+    return values_at(df, [], value, {name: F.floor(F.col("n") * a / b) for name, (a, b) in parts.items()}).select(*parts, "n")
 
 
 def quota_sample(docs: DataFrame, stratum: str, quota: int, seed: str = "759") -> DataFrame:

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lexiloom.plans import building, catalogue, corpus  # noqa: F401 (building and corpus register their queries)
+from lexiloom.plans import building, catalogue, corpus, parsing  # noqa: F401 (the others register their queries in the catalogue)
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver tables are not here")

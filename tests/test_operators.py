@@ -329,3 +329,40 @@ def test_each_tier_has_its_partners(spark):
     right = [(10, "dharmakṣetre"), (11, "dharmakṣetre"), (12, "saṅgṛhya"), (13, "abhijñānaśākuntalamz"), (14, "abhijñānaśākuntalamxx"), (15, ""), (16, "kāmaraiḥāūuuuu"), (17, "sukhatantraḥnacaalasaḥ")]
     got = align.tiers(spark.createDataFrame(left, "left_id int, left_key string"), spark.createDataFrame(right, "right_id int, right_key string")).collect()
     assert {r["left_id"]: (r["right_id"], r["tier"], r["n_right"]) for r in got} == {1: (10, "exact", 2), 6: (10, "exact", 2), 2: (12, "sandhi", 1), 3: (14, "fuzzy", 1), 8: (17, "sandhi", 1)}
+
+
+def test_tei_is_read_in_order(spark, tmp_path):
+    from lexiloom.operators import parsing as P
+
+    f = tmp_path / "x.xml"
+    f.write_text('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><p>prose <hi>one</hi> tail<lg><l>a b</l><l>c // Hit_4.142 //</l></lg> after</p><lg><l>d</l></lg><p/></div></body></text></TEI>')
+    units = P.read_tei(spark, str(f))
+    assert [(r["kind"], r["text"]) for r in units.orderBy("seq").collect()] == [("prose", "prose one tail after"), ("verse", "a b c // Hit_4.142 //"), ("verse", "d")]
+    assert [(r["passage"], r["text"], r["needs_review"]) for r in P.tei_passages(units).orderBy("seq").collect()] == [("c0.p1", "prose one tail after", False), ("4.142", "a b c", False), ("c4.p1", "d", True)]
+
+
+def test_names_are_trusted_by_their_capital_or_by_the_lists(spark):
+    from lexiloom.operators import parsing as P
+
+    docs = spark.createDataFrame([(1, "Кали пришла. Арджуна и Кришна! йога кали-юга стол"), (2, None), (3, "")], "id int, text string")
+    words = P.words_in_place(docs, "id")
+    assert [(r["surface"], r["start"], r["sentence_initial"]) for r in words.orderBy("k").collect()][:4] == [("Кали", 0, True), ("пришла", 5, False), ("Арджуна", 13, True), ("и", 21, False)]
+    lists = [spark.createDataFrame([(x,) for x in xs], "form string") for xs in (["йога"], ["кали", "пришла", "и", "стол"], ["стол"])]
+    got = {r["surface"]: r["trusted"] for r in P.trusted_names(words, *lists).collect()}
+    assert got == {"Кали": False, "пришла": False, "Арджуна": True, "и": False, "Кришна": True, "йога": False, "кали-юга": True, "стол": True}
+
+
+def test_tokens_are_repaired_only_as_a_whole(spark):
+    from lexiloom.operators import parsing as P
+
+    df = spark.createDataFrame([("слoво",), ("щq",), ("слово",), ("кrсна",), ("dhаrma",)], "t string")
+    assert [tuple(r) for r in df.select(P.repaired(F.col("t"), latin=False), P.repaired(F.col("t"), latin=True)).collect()] == [("слово", None), (None, None), (None, None), (None, None), (None, "dharma")]
+
+
+def test_places_of_equal_and_single_values(spark):
+    from lexiloom.operators.ranks import values_at
+
+    df = spark.createDataFrame([("a", 5.0)] * 9 + [("b", 1.0), ("b", 1e9), ("b", 2.0), ("c", None)], "g string, x double")
+    n = F.col("n")
+    got = {r["g"]: (r["n"], r["lo"], r["mid"], r["hi"]) for r in values_at(df, ["g"], "x", {"lo": F.lit(0), "mid": F.floor(n / 2), "hi": n - 1}).collect()}
+    assert got == {"a": (9, 5.0, 5.0, 5.0), "b": (3, 1.0, 2.0, 1e9)}
