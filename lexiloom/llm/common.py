@@ -36,10 +36,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset (a local session, as in tests)."""
+    """The folder in spark.checkpoint.dir; a folder of our own only in a local session that has none, as in tests."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lexiloom-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
