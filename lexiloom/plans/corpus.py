@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sanskrit as K
 from ..functions import text as X
-from ..operators import align, annotation, catalogue, conversion, dictionary, lexicon, quality, reader, refs, search
+from ..operators import align, annotation, catalogue, conversion, dictionary, documents, ingest, lexicon, quality, reader, refs, search
 from ..operators import building as B
 from ..sources import adapters as A
 from .catalogue import LINES, SOURCES, _refs, _versions, head, query, src
@@ -637,3 +637,43 @@ def request_hash(spark, d):
 @query("SELECT symbol, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS symbol FROM documents) WHERE symbol <> '' GROUP BY 1")
 def symbol_inventory(spark, d):
     return quality.symbols(A.table(spark, d, "documents"))
+
+
+# -- documents and loading --------------------------------------------------------------------------------
+
+_RECORD = ("concat('w', p_size % 5) AS work", "concat('w', p_size % 5, ':', p_brand, '.', p_partkey div 3) AS `group`", "concat(substring(p_brand, 7), '.0', p_partkey div 3) AS passage", "CASE p_partkey % 3 WHEN 0 THEN 'sa' WHEN 1 THEN 'ru' ELSE 'comm1' END AS seg", "p_partkey AS seq", "substring(p_brand, 7) AS chapter", "p_name AS html", "CASE WHEN p_partkey % 2 = 0 THEN p_type END AS author", "CASE WHEN p_partkey % 4 < 2 THEN '3.4' END AS annotates")
+
+
+@query(
+    "WITH r AS (SELECT 'w' || p_size % 5 AS work, 'w' || p_size % 5 || ':' || p_brand || '.' || p_partkey // 3 AS grp, p_brand[7:] || '.0' || p_partkey // 3 AS passage, p_partkey % 3 AS k, p_brand[7:] AS chapter, (p_partkey // 3)::VARCHAR AS verse, p_name, p_type, p_partkey FROM part), "
+    "b AS (SELECT work, grp, arg_min(passage, p_partkey) AS passage, arg_min(chapter, p_partkey) AS chapter, arg_min(verse, p_partkey) AS verse, min(p_partkey) FILTER (k = 0) AS s, min(p_name) FILTER (k = 0) AS sa, min(p_type) FILTER (k = 0 AND p_partkey % 2 = 0) AS sa_by, min(p_name) FILTER (k = 1) AS ru, min(p_type) FILTER (k = 1 AND p_partkey % 2 = 0) AS ru_by, min(p_name) FILTER (k = 2) AS c, min(p_partkey) FILTER (k = 2) AS cp FROM r GROUP BY work, grp) "
+    "SELECT work, grp, '<div class=\"citation_block\" id=\"' || passage || '\"><div class=\"range\" title=\"T ' || chapter || '. ' || verse || '\" id=\"T (C): ' || verse || '\">' || verse || '</div>' || CASE WHEN coalesce(sa, ru) IS NOT NULL THEN '<div class=\"chapter_content\">' || CASE WHEN sa IS NOT NULL THEN '<div class=\"chapter_block iast\">' || CASE WHEN sa_by IS NOT NULL THEN '<span class=\"iast_author\">' || sa_by || '<br></span>' ELSE '' END || sa || '</div>' ELSE '' END || CASE WHEN ru IS NOT NULL THEN '<div class=\"chapter_block translation\">' || CASE WHEN ru_by IS NOT NULL THEN '<span class=\"translation_author\">' || ru_by || ':<br></span>' ELSE '' END || ru || '</div>' ELSE '' END || '</div>' ELSE '' END || CASE WHEN c IS NOT NULL THEN '<div class=\"comments\"><div class=\"comment_item\" id=\"comment_' || CASE WHEN cp % 4 < 2 THEN '3_4_' ELSE '' END || '1\">' || c || '</div></div>' ELSE '' END || '</div>' AS block FROM b"
+)
+def citation_blocks(spark, d):
+    return documents.citation_blocks(_part(spark, d, *_RECORD), "T", "C").select("work", F.col("group").alias("grp"), "block")
+
+
+@query("SELECT 'wrong_count' AS fault, source AS source_slug, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') GROUP BY source UNION ALL SELECT 'empty_source', 'src99', 0 UNION ALL SELECT 'unknown_source', source, count(*) FROM documents WHERE source = 'src3' GROUP BY source")
+def load_faults(spark, d):
+    lines, sources = src(spark, d)
+    listed = sources.select("slug").where("slug <> 'src3'").unionByName(spark.createDataFrame([("src99",)], "slug string"))
+    expected = lines.groupBy("source_slug").agg((F.count("*") + F.max(F.when(F.col("source_slug").isin("src1", "src2"), 1).otherwise(0))).alias("record_count"))
+    return ingest.faults(lines, listed, expected)
+
+
+@query("SELECT key, value FROM (SELECT count(*) AS s, sum(n) AS l, sha256(string_agg(m, chr(10) ORDER BY m)) AS h FROM (SELECT count(*) AS n, source || ':' || count(*) || ':' || source || ':' || min(doc_id) || ':' || source || ':' || max(doc_id) || ':' || sum(length(text)) AS m FROM documents GROUP BY source)) q, (VALUES ('corpus_version', 0), ('source_count', 1), ('line_count', 2), ('input_manifest_hash', 3)) v(key, k), LATERAL (SELECT CASE k WHEN 0 THEN 'v1' WHEN 1 THEN s::VARCHAR WHEN 2 THEN l::VARCHAR ELSE h END AS value) x")
+def corpus_meta(spark, d):
+    return ingest.meta(A.lines(spark, d), "v1")
+
+
+@query("SELECT (SELECT count(DISTINCT source) FROM documents) AS sources, count(*) AS lines, bool_or(contains(lower(text), 'the')) AS search_ok FROM documents")
+def corpus_health(spark, d):
+    lines, sources = src(spark, d)
+    return ingest.health(lines, sources, "the")
+
+
+@query("SELECT DISTINCT source AS source_slug FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN benchmark ON doc_id = item_id)")
+def vanished_sources(spark, d):
+    lines = A.lines(spark, d)
+    after = lines.join(A.table(spark, d, "benchmark").selectExpr("CAST(item_id AS DOUBLE) AS line_num"), "line_num")
+    return ingest.vanished(lines, after)

@@ -366,3 +366,68 @@ def test_places_of_equal_and_single_values(spark):
     n = F.col("n")
     got = {r["g"]: (r["n"], r["lo"], r["mid"], r["hi"]) for r in values_at(df, ["g"], "x", {"lo": F.lit(0), "mid": F.floor(n / 2), "hi": n - 1}).collect()}
     assert got == {"a": (9, 5.0, 5.0, 5.0), "b": (3, 1.0, 2.0, 1e9)}
+
+
+def test_documents_convert_back_to_their_records(spark, tmp_path):
+    """Records to citation blocks to a document, and the document back to the same records."""
+    from lexiloom.operators import conversion as C
+    from lexiloom.operators import documents as D
+    from lexiloom.operators import ingest as I
+
+    records = [("w", "w:1.1", "1.1", "sa", 1, "1", "dharma kṣetre", "saṃjaya", None), ("w", "w:1.1", "1.1", "ru", 2, "1", "на поле &amp; дхармы", "Санджая", None), ("w", "w:1.1", "1.1.comm1", "comm1", 3, "1", "note <div>x</div>", None, "1.1"), ("w", "w:1.2", "1.2", "ru", 4, "1", "два", None, None), ("w", "w:2.10", "2.10", "sa", 6, "2", "b", None, None), ("w", "w:2.9", "2.9", "sa", 5, "2", "a", None, None)]
+    df = spark.createDataFrame(records, "work string, group string, passage string, seg string, seq int, chapter string, html string, author string, annotates string")
+    lines = D.document_lines(D.citation_blocks(df, "T"), spark.createDataFrame([("w", "Title")], "work string, title string"))
+    D.write_documents(lines, str(tmp_path / "out"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "out" / "work=w").glob("part-*"))).splitlines()
+    assert text[0] == "<!-- Title --!>" and text[-1] == "</body></html>" and [x for x in text if "chapter_title" in x] == ['<div class="chapter_title" id="1">1</div>', '<div class="chapter_title" id="2">2</div>']
+    (tmp_path / "w.html").write_text("\n".join(text) + "\n")
+    read = I.read_corpus_lines(spark, str(tmp_path / "w.html"))
+    assert [r["line"] for r in read.orderBy("line_no").collect()] == text and C.source_titles(read).collect()[0]["title"] == "Title"
+    back = {(r["id"], r["group"], r["seg"], r["text"], r["author"], r["annotates"], r["chapter"]) for r in C.verse_records(read).collect()}
+    assert back == {("w:1.1#sa", "w:1.1", "sa", "dharma kṣetre", "saṃjaya", None, "1"), ("w:1.1#ru", "w:1.1", "ru", "на поле & дхармы", "Санджая", None, "1"), ("w:1.1.comm1", "w:1.1", "comm1", "note x", None, "1.1", "1"), ("w:1.2#ru", "w:1.2", "ru", "два", None, None, "1"), ("w:2.9#sa", "w:2.9", "sa", "a", None, None, "2"), ("w:2.10#sa", "w:2.10", "sa", "b", None, None, "2")}
+
+
+def test_lines_keep_their_numbers_over_splits(spark, tmp_path):
+    from lexiloom.operators import ingest as I
+
+    for name, n in (("a.txt", 900), ("b c.html", 50)):
+        (tmp_path / name).write_text("".join(f"line {k} of {name}\n" for k in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        rows = I.read_corpus_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["work"], r["line_no"], r["line"]) for r in rows) == sorted([("a", k, f"line {k} of a.txt") for k in range(900)] + [("b c", k, f"line {k} of b c.html") for k in range(50)])
+
+
+def test_a_corpus_is_loaded_whole_or_not_at_all(spark, corpus, tmp_path):
+    from lexiloom.operators import ingest as I
+
+    lines, sources = corpus
+    root = f"file://{tmp_path}/corpus"
+    with pytest.raises(ValueError, match="missing_id"):
+        I.load(lines, sources, root, "1")
+    good = lines.where("canonical_id is not null")
+    listed = sources.where("slug <> 'c'")
+    assert I.load(good, listed, root, "1") == 5
+    held = export.read_published(spark, root)
+    assert found(search.search_plain(held, sources, search.SearchSpec("krsna"))) == ["a:1"]
+    with pytest.raises(ValueError, match="wrong_count"):
+        I.load(good, listed, root, "2", good.groupBy("source_slug").agg((F.count("*") + 1).alias("record_count")))
+    folder = f"file://{tmp_path}/by_source"
+    I.reload_source(good, folder)
+    for _ in range(2):
+        I.reload_source(good.where("source_slug = 'a' and line_num = 1"), folder)
+    assert {(r["source_slug"], r["n"]) for r in spark.read.parquet(folder).groupBy("source_slug").agg(F.count("*").alias("n")).collect()} == {("a", 1), ("b", 2)}
+
+
+def test_jobs_load_and_search(spark, tmp_path, capsys):
+    from lexiloom import jobs
+
+    (tmp_path / "x.jsonl").write_text('{"id":"w:1#sa","work":"w","passage":"1","seg":"sa","text":"kṛṣṇa uvāca","seq":1}\n')
+    args = ["--input", str(tmp_path / "x.jsonl"), "--output", f"file://{tmp_path}/c"]
+    assert jobs.main(["load", *args]) == 0 and jobs.main(["search", "--input", f"file://{tmp_path}/c", "--query", "krsna"]) == 0
+    out = capsys.readouterr().out
+    assert out.split("\n")[0] == "1" and '"canonical_id":"w:1#sa"' in out
+    (tmp_path / "x.conllu").write_text("# sent_id = 1\n# text = a\n1\ta\ta\tNOUN\t_\t_\tx\t_\t_\t_\n\n")
+    assert jobs.main(["validate-conllu", "--input", str(tmp_path / "x.conllu")]) == 1
