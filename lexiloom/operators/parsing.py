@@ -339,3 +339,46 @@ def cached_stems(words: DataFrame, cache: DataFrame) -> DataFrame:
     met = words.select("word").distinct().join(cache.select("word", "stems", F.lit(True).alias("cached")), "word", "left")
     stems = F.when(F.coalesce(F.size("stems"), F.lit(0)) > 0, F.col("stems")).otherwise(F.array("word"))
     return met.select("word", F.explode(stems).alias("stem"), F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
+# -- verses of running text ---------------------------------------------------------------------------------
+
+
+def split_verses(texts: DataFrame, id_col: str = "id", speaker: str = r"^([А-ЯЁ][^.:()]{1,60}):\s*", number: str = r"\(\s*([0-9]+(?:\s*[-–]\s*[0-9]+)?)\s*\)") -> DataFrame:
+    """(id, k, verse, author, text): the pieces of a text that end in a number in brackets. A piece may begin with its speaker, who goes on
+    speaking until the next one; what is behind the last number goes."""
+    parts = texts.select(id_col, F.posexplode(F.arrays_zip(F.split("text", number, -1).alias("piece"), F.regexp_extract_all("text", F.lit(number), 1).alias("verse"))).alias("k", "p"))
+    rows = parts.select(id_col, "k", F.trim("p.piece").alias("piece"), F.regexp_replace("p.verse", r"\s", "").alias("verse")).where("verse is not null and piece <> ''")
+    said = F.when(F.col("piece").rlike(speaker), F.trim(F.regexp_replace(F.regexp_extract("piece", speaker, 1), "[0-9]+$", "")))
+    carried = F.last(said, ignorenulls=True).over(Window.partitionBy(id_col).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(id_col, "k", "verse", carried.alias("author"), F.trim(F.regexp_replace("piece", speaker, "")).alias("text"))
+
+
+def note_references(verses: DataFrame, notes: DataFrame, glued: str = r"[А-яёЁ»\)\]]([0-9]{1,3})(?![0-9(])") -> DataFrame:
+    """(volume, verse_no, number): references to notes (volume, number) in verses (volume, verse_no, text): digits behind a letter or a
+    closing mark that are a note's number, the first time in the volume."""
+    found = verses.select("volume", "verse_no", F.posexplode(F.regexp_extract_all("text", F.lit(glued), 1)).alias("k", "digits")).withColumn("number", F.col("digits").cast("int"))
+    known = found.join(notes.select("volume", "number").distinct(), ["volume", "number"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("volume", "number").orderBy("verse_no", "k"))
+    return known.withColumn("n", first).where("n = 1").select("volume", "verse_no", "number")
+
+
+def collapse_verses(chapters: DataFrame, jump: int = 50) -> DataFrame:
+    """chapters (id, verses array of (start, end, text, debris, colophon)) with false verses put back.
+
+    A fold over a chapter's verses, as what becomes of one depends on those that were kept: a verse that starts before the last one's end,
+    or looks like a note, goes to the text of the one before (a colophon goes altogether), and one that is `jump` ahead goes."""
+    kind = "array<struct<start:int,end:int,text:string>>"
+    start = F.struct(F.lit(0).alias("upto"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, v: Column) -> Column:
+        some, known = F.size(s["out"]) > 0, v["start"].isNotNull()
+        back, debris = some & known & (v["start"] < s["upto"]), some & known & v["debris"]
+        gone = (debris & v["colophon"] & ~back) | (some & known & ~back & ~debris & (s["upto"] >= 1) & (v["start"] >= s["upto"] + jump))
+        merged = (back | debris) & ~gone
+        last = F.try_element_at(s["out"], F.lit(-1))
+        joined = F.concat(F.slice(s["out"], 1, F.greatest(F.size(s["out"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), last["end"].alias("end"), F.trim(F.concat(last["text"], F.lit(" "), v["text"])).alias("text"))))
+        kept = F.concat(s["out"], F.array(F.struct(v["start"].alias("start"), v["end"].alias("end"), v["text"].alias("text"))))
+        return F.struct(F.when(gone | merged | ~known, s["upto"]).otherwise(v["end"]).alias("upto"), F.when(gone, s["out"]).when(merged, joined).otherwise(kept).alias("out"))
+
+    return chapters.select("id", F.aggregate("verses", start, step, lambda s: s["out"]).alias("verses"))

@@ -77,3 +77,13 @@ def quota_sample(docs: DataFrame, stratum: str, quota: int, seed: str = "759") -
 def symbols(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """(symbol, n): the characters of all texts with their number."""
     return rows.select(F.explode(F.split(text_col, "")).alias("symbol")).where("symbol <> ''").groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+def tagger_scores(rows: DataFrame, stratum: str) -> DataFrame:
+    """(stratum, n, lenient, strict, ambiguous, low, high): of rows (stratum, lemma, gold array in order), how many lemmas are among the gold
+    ones, how many are the first, how many have several, and the interval of the lenient rate; by stratum and, with a null, over all."""
+    lenient = F.array_contains("gold", F.lower("lemma"))
+    strict = F.get(F.col("gold"), 0) == F.lower("lemma")
+    found = rows.where(F.size("gold") > 0).groupingSets([[F.col(stratum)], []], F.col(stratum)).agg(F.count("*").alias("n"), F.count_if(lenient).alias("lenient"), F.count_if(strict).alias("strict"), F.count_if(F.size("gold") > 1).alias("ambiguous"))
+    low, high = wilson(F.col("lenient").cast("double"), F.col("n").cast("double"))
+    return found.select(F.col(stratum).alias("stratum"), "n", "lenient", "strict", "ambiguous", low.alias("low"), high.alias("high"))

@@ -180,3 +180,32 @@ def tei_passages(spark, d):
     """Only verses have marks; those of every sixth unit."""
     units = A.table(spark, d, "part").selectExpr("p_brand AS file", "p_partkey AS seq", "CASE WHEN p_partkey % 2 = 0 THEN 'verse' ELSE 'prose' END AS kind", f"CASE WHEN p_partkey % 2 = 0 THEN {_UNIT} ELSE p_name END AS text")
     return P.tei_passages(units)
+
+
+_RUNNING = "concat(CASE WHEN p_partkey % 2 = 0 THEN concat('Сута 1: ', p_name) ELSE p_type END, ' (', p_size, ' - ', p_size + 1, ') ', p_brand, ' (7) tail')"
+
+
+@query("SELECT p_partkey AS id, 0 AS k, p_size || '-' || (p_size + 1) AS verse, CASE WHEN p_partkey % 2 = 0 THEN 'Сута' END AS author, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS text FROM part UNION ALL SELECT p_partkey, 1, '7', CASE WHEN p_partkey % 2 = 0 THEN 'Сута' END, p_brand FROM part")
+def split_verses(spark, d):
+    return P.split_verses(A.table(spark, d, "part").selectExpr("p_partkey AS id", f"{_RUNNING} AS text"))
+
+
+@query("WITH f AS (SELECT p_size % 5 AS volume, p_partkey AS verse_no, 0 AS k, p_partkey % 30 AS number FROM part UNION ALL SELECT p_size % 5, p_partkey, 1, p_size FROM part), n AS (SELECT DISTINCT s_suppkey % 5 AS volume, s_nationkey AS number FROM supplier) SELECT volume, verse_no, number::INT AS number FROM (SELECT *, row_number() OVER (PARTITION BY volume, number ORDER BY verse_no, k) AS r FROM f JOIN n USING (volume, number)) WHERE r = 1")
+def note_references(spark, d):
+    verses = A.table(spark, d, "part").selectExpr("CAST(p_size % 5 AS BIGINT) AS volume", "p_partkey AS verse_no", "concat('слово', p_partkey % 30, ' и », 12 год 1999(', ' дом]', p_size, '.') AS text")
+    return P.note_references(verses, A.table(spark, d, "supplier").selectExpr("s_suppkey % 5 AS volume", "s_nationkey AS number"))
+
+
+@query("WITH r AS (SELECT p_type AS stratum, lower(p_name) AS lemma, p_partkey % 3 AS k, p_partkey % 4 = 0 AS two FROM part WHERE p_partkey % 5 <> 0), s AS (SELECT stratum, count(*) AS n, count(*) FILTER (k = 0 OR two) AS lenient, count(*) FILTER (k = 0) AS strict, count(*) FILTER (two) AS ambiguous FROM r GROUP BY GROUPING SETS ((stratum), ())) SELECT *, (p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) AS low, (p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n) AS high FROM (SELECT *, lenient / n::DOUBLE AS p FROM s)".replace("SELECT *, (p +", "SELECT stratum, n, lenient, strict, ambiguous, (p +"))
+def tagger_scores(spark, d):
+    from ..operators import quality
+
+    gold = "CASE WHEN p_partkey % 5 = 0 THEN array() WHEN p_partkey % 4 = 0 THEN array(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'x' END, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE p_name END) ELSE array(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'x' END) END AS gold"
+    return quality.tagger_scores(A.table(spark, d, "part").selectExpr("p_type", "upper(p_name) AS lemma", gold), "p_type")
+
+
+@query("SELECT DISTINCT 'https://example.org/compare/w' || l_suppkey % 20 || '/' || (l_orderkey % 18 + 1) || '.' || l_linenumber AS url FROM lineitem")
+def sitemap_compare(spark, d):
+    from ..operators import export
+
+    return export.sitemap_compare(A.table(spark, d, "lineitem").selectExpr("concat('w', l_suppkey % 20) AS work", "l_orderkey % 18 + 1 AS chapter", "l_linenumber AS verse"))

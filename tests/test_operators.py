@@ -431,3 +431,12 @@ def test_jobs_load_and_search(spark, tmp_path, capsys):
     assert out.split("\n")[0] == "1" and '"canonical_id":"w:1#sa"' in out
     (tmp_path / "x.conllu").write_text("# sent_id = 1\n# text = a\n1\ta\ta\tNOUN\t_\t_\tx\t_\t_\t_\n\n")
     assert jobs.main(["validate-conllu", "--input", str(tmp_path / "x.conllu")]) == 1
+
+
+def test_false_verses_go_back(spark):
+    from lexiloom.operators import parsing as P
+
+    v = [(1, 1, "a", False, False), (2, 3, "b", False, False), (1, 1, "back", False, False), (30, 30, "note", True, False), (4, 4, "c", False, False), (40, 40, "colophon", True, True), (None, None, "free", False, False), (99, 99, "far", False, False), (5, 5, "d", False, False)]
+    df = spark.createDataFrame([(1, v), (2, []), (3, [(7, 7, "x", True, True)])], "id int, verses array<struct<start:int,end:int,text:string,debris:boolean,colophon:boolean>>")
+    got = {r["id"]: [(x["start"], x["text"]) for x in r["verses"]] for r in P.collapse_verses(df).collect()}
+    assert got == {1: [(1, "a"), (2, "b back note"), (4, "c"), (None, "free"), (5, "d")], 2: [], 3: [(7, "x")]}
