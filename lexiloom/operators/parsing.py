@@ -382,3 +382,25 @@ def collapse_verses(chapters: DataFrame, jump: int = 50) -> DataFrame:
         return F.struct(F.when(gone | merged | ~known, s["upto"]).otherwise(v["end"]).alias("upto"), F.when(gone, s["out"]).when(merged, joined).otherwise(kept).alias("out"))
 
     return chapters.select("id", F.aggregate("verses", start, step, lambda s: s["out"]).alias("verses"))
+
+
+# -- errata ---------------------------------------------------------------------------------------------------
+
+
+def errata_entries(lines: DataFrame) -> DataFrame:
+    """(work, entry, fields map) of files with a list of entries: '- key: value' begins one, '  key: value' goes on with it; comments and blank
+    lines are nothing, quotes about a value go, and a value may hold colons."""
+    pattern = r"^(?:- |\s+)([A-Za-z_]+):\s*(.*?)\s*$"
+    rows = lines.where(F.col("line").rlike(pattern) & ~F.col("line").rlike(r"^\s*#")).withColumn("entry", F.sum(F.col("line").startswith("- ").cast("int")).over(Window.partitionBy("work").orderBy("line_no"))).where("entry > 0")
+    value = F.regexp_replace(F.regexp_extract("line", pattern, 2), r"^(['\"])(.*)\1$", "$2")
+    pairs = rows.groupBy("work", "entry", F.regexp_extract("line", pattern, 1).alias("key")).agg(F.max_by(value, "line_no").alias("value"))  # the last line of a key holds
+    return pairs.groupBy("work", "entry").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("fields"))
+
+
+def errata_report(applied: DataFrame) -> DataFrame:
+    """(work, natural, line): a report's lines on errata (work, passage, read, instead, status), in the natural order of passages."""
+    from ..functions import text as X
+
+    mark = F.when(F.col("status") == "applied", "x").otherwise(" ")
+    line = F.concat(F.lit("- ["), mark, F.lit("] "), "passage", F.lit(": "), "read", F.lit(" → "), "instead", F.when(F.col("status") == "applied", "").otherwise(F.concat(F.lit(" ("), "status", F.lit(")"))))
+    return applied.select("work", X.natural_key(F.col("passage")).alias("natural"), line.alias("line"))

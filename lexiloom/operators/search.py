@@ -306,3 +306,9 @@ def by_source(hits: DataFrame) -> DataFrame:
     """Hits with the place of their source among the sources hit, in the order of the hits, and their own place in it."""
     first = hits.groupBy("source_id").agg(F.min("sort_order").alias("so")).withColumn("source_place", F.row_number().over(Window.orderBy("so", "source_id"))).drop("so")  # one row a source
     return hits.join(first, "source_id").withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy("line_num", "canonical_id")))
+
+
+def found_sources(hits: DataFrame, epic: list[str]) -> DataFrame:
+    """One row: the numbers of the sources that have hits, in order, and whether all of them are epics."""
+    by = hits.select("source_id", "source_slug").distinct()  # a row a source
+    return by.agg(F.array_join(F.transform(F.array_sort(F.collect_set("source_id")), lambda x: x.cast("string")), ",").alias("source_ids"), F.coalesce(F.bool_and(F.col("source_slug").isin(*epic)), F.lit(False)).alias("epic_only"))

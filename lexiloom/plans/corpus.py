@@ -677,3 +677,9 @@ def vanished_sources(spark, d):
     lines = A.lines(spark, d)
     after = lines.join(A.table(spark, d, "benchmark").selectExpr("CAST(item_id AS DOUBLE) AS line_num"), "line_num")
     return ingest.vanished(lines, after)
+
+
+@query(head(SOURCES, LINES) + "SELECT string_agg(source_id::VARCHAR, ',' ORDER BY source_id) AS source_ids, bool_and(source IN ('src1', 'src2')) AS epic_only FROM (SELECT DISTINCT source_id, source FROM lines WHERE contains(norm, ' the'))")
+def search_found_sources(spark, d):
+    hits = search.search_plain(*src(spark, d), search.SearchSpec("the", limit=None))
+    return search.found_sources(hits, ["src1", "src2"])

@@ -209,3 +209,12 @@ def sitemap_compare(spark, d):
     from ..operators import export
 
     return export.sitemap_compare(A.table(spark, d, "lineitem").selectExpr("concat('w', l_suppkey % 20) AS work", "l_orderkey % 18 + 1 AS chapter", "l_linenumber AS verse"))
+
+
+_ERRATUM = "CASE p_partkey % 5 WHEN 0 THEN concat('- id: ', p_partkey) WHEN 1 THEN concat('  read: \"', p_name, ': x\"') WHEN 2 THEN concat('  instead: ', p_type) WHEN 3 THEN '  # note: none' ELSE '' END"
+
+
+@query("SELECT 'e' AS work, p_partkey // 5 + 1 AS entry, max(CASE WHEN p_partkey % 5 = 0 THEN p_partkey::VARCHAR END) AS id, max(CASE WHEN p_partkey % 5 = 1 THEN p_name || ': x' END) AS read, max(CASE WHEN p_partkey % 5 = 2 THEN p_type END) AS instead FROM part GROUP BY 2")
+def errata_entries(spark, d):
+    lines = A.table(spark, d, "part").selectExpr("'e' AS work", "p_partkey AS line_no", f"{_ERRATUM} AS line")
+    return P.errata_entries(lines).select("work", "entry", *(F.try_element_at("fields", F.lit(k)).alias(k) for k in ("id", "read", "instead")))

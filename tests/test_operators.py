@@ -440,3 +440,13 @@ def test_false_verses_go_back(spark):
     df = spark.createDataFrame([(1, v), (2, []), (3, [(7, 7, "x", True, True)])], "id int, verses array<struct<start:int,end:int,text:string,debris:boolean,colophon:boolean>>")
     got = {r["id"]: [(x["start"], x["text"]) for x in r["verses"]] for r in P.collapse_verses(df).collect()}
     assert got == {1: [(1, "a"), (2, "b back note"), (4, "c"), (None, "free"), (5, "d")], 2: [], 3: [(7, "x")]}
+
+
+def test_errata_are_read_and_reported(spark):
+    from lexiloom.operators import parsing as P
+
+    text = ["# errata", "- id: 'w:1.2#ru'", '  read: "a: b"', "  instead: c", "", "- passage: 1.10", "  read: x", "  read: y"]
+    got = P.errata_entries(spark.createDataFrame([("w", k, x) for k, x in enumerate(text)], "work string, line_no int, line string")).orderBy("entry").collect()
+    assert [r["fields"] for r in got] == [{"id": "w:1.2#ru", "read": "a: b", "instead": "c"}, {"passage": "1.10", "read": "y"}]
+    rows = spark.createDataFrame([("w", "1.10", "a", "b", "missing"), ("w", "1.9", "c", "d", "applied")], "work string, passage string, read string, instead string, status string")
+    assert [r["line"] for r in P.errata_report(rows).orderBy("natural").collect()] == ["- [x] 1.9: c → d", "- [ ] 1.10: a → b (missing)"]
