@@ -25,11 +25,11 @@ NOMINAL, VERBAL = ("NOUN", "PROPN", "ADJ", "PRON", "DET", "NUM"), ("VERB", "AUX"
 
 
 def composed(c: Column) -> Column:
-    """Letters of romanised Sanskrit that are written with combining marks, as one code point each."""
+    """Letters of romanised Sanskrit that are written with combining marks, as one code point each. A text without a mark costs a look for one."""
+    out = c
     for letter in IAST + IAST.upper():
-        parts = unicodedata.normalize("NFD", letter)
-        c = F.replace(c, F.lit(parts), F.lit(letter))
-    return c
+        out = F.replace(out, F.lit(unicodedata.normalize("NFD", letter)), F.lit(letter))
+    return F.when(c.rlike(r"\p{Mn}"), out).otherwise(c)
 
 
 def _lowered(c: Column) -> Column:
