@@ -131,7 +131,7 @@ class Encoder:
             raise ValueError("unused pieces are not supported")
         self.cut = self.cutter(s for s, _, _ in usable if len(s) > 1)
         self.surface = [b"" if kind == CONTROL else self.unknown_surface.encode() if kind == UNKNOWN else bytes([int(s[3:5], 16)]) if kind == BYTE else s.replace(SPACE, " ").encode() for s, _, kind in self.pieces]
-        self.memo = Memo(self.chunk, most=160 << 20)
+        self.memo = Memo(self.chunk, most=256 << 20)
 
     @staticmethod
     def cutter(pieces) -> re.Pattern | None:
