@@ -74,11 +74,15 @@ def comment_items(c: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda s: s["done"])
 
 
-def verse_records(lines: DataFrame) -> DataFrame:
+def verse_records(lines: DataFrame, after_z: str = "number") -> DataFrame:
     """Records of verse works: of each citation block its Sanskrit and Russian side, if they have text, and its comments.
 
-    A passage met again gets a letter, from the 27th on a number of its own. A comment belongs to the verse that its anchor
-    names if the work has it with text, else to that without the quarter's letter, else to the block it stands in."""
+    A passage met again gets a letter. From the 27th on it gets a number of its own, from the sequence of the work that also
+    numbers comments whose anchor names nothing; with `after_z` "running" the letters run on through the code points, as in the
+    reference's older exporter. A comment belongs to the verse that its anchor names if the work has it with text, else to that
+    without the quarter's letter, else to the block it stands in."""
+    if after_z not in ("number", "running"):
+        raise ValueError(f"after_z is number or running, not {after_z}")
     paths = sniff(lines)
     blocks = lines.where(F.col("line").contains("citation_block") & (F.col("line_no") > 0)).join(paths, "work")  # one small row a work
     raw = F.when(F.col("path") == "clean", F.nullif(F.regexp_extract("line", M.BLOCK_ID, 1), F.lit(""))).otherwise(titled_passage(F.nullif(F.regexp_extract("line", M.RANGE_TITLE, 1), F.lit("")), F.col("work")))
@@ -90,10 +94,12 @@ def verse_records(lines: DataFrame) -> DataFrame:
     places = at.select("work", "line_no").withColumn("own", F.lit(None).cast("string")).unionByName(marks)
     carried = places.withColumn("chapter", F.last("own", ignorenulls=True).over(before)).where("own is null").select("work", "line_no", F.coalesce("chapter", F.lit("")).alias("chapter"))
     n = F.row_number().over(Window.partitionBy("work", "raw").orderBy("line_no")) - 1
-    prose = F.row_number().over(Window.partitionBy("work", F.lit(True)).orderBy("line_no"))
-    numbered = at.select("work", "line_no", "raw").withColumn("dup", n)
-    over = numbered.where("dup > 25").withColumn("p", F.concat(F.lit("p"), prose.cast("string"))).select("work", "line_no", "p")
-    minted = numbered.join(over, ["work", "line_no"], "left").select("work", "line_no", "raw", F.coalesce("p", F.concat("raw", X.letter_suffix(F.col("dup")))).alias("passage"))
+    unnamed = F.size(F.filter(comment_items(F.col("line")), lambda x: M.comment_target(x["anchor"]).isNull()))
+    numbered = at.select("work", "line_no", "raw", unnamed.alias("unnamed")).withColumn("dup", n).withColumn("over", ((F.col("dup") > 25) & F.lit(after_z == "number")).cast("int"))
+    taken = F.coalesce(F.sum(F.col("unnamed") + F.col("over")).over(Window.partitionBy("work").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = numbered.withColumn("taken", taken + F.col("over"))  # numbers of the work up to this block's own
+    suffix = X.letter_suffix(F.col("dup")) if after_z == "number" else X.running_suffix(F.col("dup"))
+    minted = numbered.select("work", "line_no", "raw", "taken", F.when(F.col("over") == 1, F.concat(F.lit("p"), F.col("taken").cast("string"))).otherwise(F.concat("raw", suffix)).alias("passage"))
     rows = at.drop("raw").join(minted, ["work", "line_no"]).join(carried, ["work", "line_no"])
     line = F.col("line")
     sides = rows.select("*", M.block(line, M.SANSKRIT).alias("sa"), M.block(line, M.TRANSLATION).alias("ru"))
@@ -115,12 +121,12 @@ def verse_records(lines: DataFrame) -> DataFrame:
     # Comments: the anchor's verse, with the epic's book before it, is looked for among the work's verses, then without its letter.
     book = F.regexp_extract("work", "^0*([0-9]+)_mahabharata", 1)
     target = M.comment_target(F.col("item.anchor"))
-    notes = sides.select("work", "line_no", "chapter", "passage", F.posexplode("items").alias("k", "item")).withColumn("target", F.when((book != "") & target.rlike(r"^[0-9]+\.[0-9]"), F.concat_ws(".", book, target)).otherwise(target))
+    notes = sides.select("work", "line_no", "chapter", "passage", "taken", F.posexplode("items").alias("k", "item")).withColumn("target", F.when((book != "") & target.rlike(r"^[0-9]+\.[0-9]"), F.concat_ws(".", book, target)).otherwise(target))
     notes = notes.withColumn("bare", F.when(F.col("target").rlike(r"\p{L}$"), F.regexp_replace("target", r"\p{L}$", "")))
     for name in ("target", "bare"):
         hit = known.withColumnRenamed("hit", name).withColumn(f"{name}_known", F.lit(True))
         notes = notes.join(hit, ["work", name], "left")
-    lost = F.concat(F.lit("c."), F.when(F.col("chapter") == "", "0").otherwise(F.col("chapter")), F.lit(".p"), F.row_number().over(Window.partitionBy("work", F.col("target").isNull()).orderBy("line_no", "k")).cast("string"))
+    lost = F.concat(F.lit("c."), F.when(F.col("chapter") == "", "0").otherwise(F.col("chapter")), F.lit(".p"), (F.col("taken") + F.row_number().over(Window.partitionBy("work", "line_no", F.col("target").isNull()).orderBy("k"))).cast("string"))
     notes = notes.withColumn("annotates", F.when(F.col("target").isNull(), lost).when(F.col("target_known"), F.col("target")).when(F.col("bare_known"), F.col("bare")).otherwise(F.col("passage")))
     m = F.row_number().over(Window.partitionBy("work", "annotates").orderBy("line_no", "k"))
     notes = notes.withColumn("m", m).select(

@@ -450,3 +450,23 @@ def test_errata_are_read_and_reported(spark):
     assert [r["fields"] for r in got] == [{"id": "w:1.2#ru", "read": "a: b", "instead": "c"}, {"passage": "1.10", "read": "y"}]
     rows = spark.createDataFrame([("w", "1.10", "a", "b", "missing"), ("w", "1.9", "c", "d", "applied")], "work string, passage string, read string, instead string, status string")
     assert [r["line"] for r in P.errata_report(rows).orderBy("natural").collect()] == ["- [x] 1.9: c → d", "- [ ] 1.10: a → b (missing)"]
+
+
+def test_a_passage_met_27_times(spark):
+    """The 27th takes the next number of the work, which comments without a verse take too; or the letters run on."""
+    from lexiloom.operators import conversion as C
+
+    def block(passage, k, *anchors):
+        notes = "".join(f'<div class="comment_item" id="{a}">n</div>' for a in anchors)
+        return ("w", k, f'<div class="citation_block" id="{passage}"><div class="chapter_content"><div class="chapter_block iast">a</div></div><div class="comments">{notes}</div></div>')
+
+    lines = spark.createDataFrame([block("1.1", k, *(["foo", "foo"] if k == 3 else ["foo", "comment_1_1", "foo"] if k == 27 else [])) for k in range(1, 29)] + [block("1.2", 29, "foo")], "work string, line_no int, line string")
+    rows = C.verse_records(lines).collect()
+    got = {r["line_no"]: r["passage"] for r in rows if r["seg"] == "sa"}
+    assert [got[k] for k in (1, 2, 26, 27, 28, 29)] == ["1.1", "1.1b", "1.1z", "p3", "p6", "1.2"]
+    assert sorted((r["line_no"], r["annotates"]) for r in rows if r["annotates"]) == [(3, "c.0.p1"), (3, "c.0.p2"), (27, "1.1"), (27, "c.0.p4"), (27, "c.0.p5"), (29, "c.0.p7")]
+    rows = C.verse_records(lines, after_z="running").collect()
+    got = {r["line_no"]: r["passage"] for r in rows if r["seg"] == "sa"}
+    assert [got[k] for k in (1, 2, 26, 27, 28, 29)] == ["1.1", "1.1b", "1.1z", "1.1{", "1.1|", "1.2"]
+    assert {r["annotates"] for r in rows if r["line_no"] == 29 and r["annotates"]} == {"c.0.p5"}
+    assert [r[0] for r in spark.createDataFrame([(31,), (300,), (60000,)], "n int").select(X.running_suffix(F.col("n"))).collect()] == [chr(128), chr(397), chr(60097)]
