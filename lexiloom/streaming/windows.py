@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +25,16 @@ def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataF
     return stream.sparkSession.table(name)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in spark.checkpoint.dir, which driver and executors share; only a local session may have none, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='lexiloom-')}"
+    return f"{shared.rstrip('/')}/lexiloom-{name}-{uuid.uuid4().hex}"
+
+
 def run_to_files(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """Run a streaming aggregate over what is there now and return its result, which executors write as Parquet under `folder`.
 

@@ -111,3 +111,12 @@ def test_endnote_starts_of_all_rows_against_a_fold(spark):
             wanted[g].append(str(at[g]))
     got = dict(map(tuple, catalogue.queries()["endnote_starts"](spark, str(DATA)).collect()))
     assert got == {g: ",".join(x) for g, x in wanted.items()}
+
+
+def test_streamed_windows_stay_in_files(spark, tmp_path):
+    """The result is read from files, not held by the driver; the events may be a file or a folder of files."""
+    spark.read.parquet(str(DATA / "events.parquet")).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    batch = sorted(map(tuple, catalogue.queries()["rate_limit_windows"](spark, str(DATA)).collect()))
+    for d in (DATA, tmp_path):
+        got = catalogue.queries()["rate_limit_windows_stream"](spark, str(d))
+        assert got.inputFiles() and sorted(map(tuple, got.collect())) == batch
