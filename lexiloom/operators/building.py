@@ -137,10 +137,13 @@ def monotone_notes(rows: DataFrame, group: str, gap: int = 8) -> DataFrame:
 def concatenate_ranges(ranges: DataFrame, rows: DataFrame, group: str) -> DataFrame:
     """ranges (range_id, group, lo, hi) with the texts (group, seq, text) between their ends, in order and joined by blanks, and how many.
 
-    Ranges are short and are spread over their numbers, so the join is an equi-join; a range without a row is kept with none."""
-    spread = ranges.withColumn("seq", F.explode(F.sequence("lo", "hi")))
-    met = spread.join(rows.select(group, "seq", "text"), [group, "seq"]).groupBy("range_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("xs"))
-    return ranges.select("range_id").join(met, "range_id", "left").select("range_id", F.coalesce(F.array_join(F.transform("xs", lambda x: x["text"]), " "), F.lit("")).alias("body"), F.coalesce(F.size("xs"), F.lit(0)).alias("n"))
+    Ranges are short and are spread over their numbers, so the join is an equi-join; a range without a row is kept with none.
+    Ranges with the same ends share one body, which is made once: texts are shuffled by ends, not by range."""
+    ends = [group, "lo", "hi"]
+    spread = ranges.select(*ends).distinct().withColumn("seq", F.explode(F.sequence("lo", "hi")))
+    met = spread.join(rows.select(group, "seq", "text"), [group, "seq"]).groupBy(*ends).agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("xs"))
+    bodies = met.select(*ends, F.array_join(F.transform("xs", lambda x: x["text"]), " ").alias("body"), F.size("xs").alias("n"))
+    return ranges.join(bodies, ends, "left").select("range_id", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def prompt(rows: DataFrame, key: str, label: str, order: str) -> DataFrame:

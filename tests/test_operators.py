@@ -470,3 +470,15 @@ def test_a_passage_met_27_times(spark):
     assert [got[k] for k in (1, 2, 26, 27, 28, 29)] == ["1.1", "1.1b", "1.1z", "1.1{", "1.1|", "1.2"]
     assert {r["annotates"] for r in rows if r["line_no"] == 29 and r["annotates"]} == {"c.0.p5"}
     assert [r[0] for r in spark.createDataFrame([(31,), (300,), (60000,)], "n int").select(X.running_suffix(F.col("n"))).collect()] == [chr(128), chr(397), chr(60097)]
+
+
+def test_ranges_with_the_same_ends_share_a_body(spark):
+    """Texts are gathered by the ranges' ends; gathered by range they would be shuffled once for each of many ranges."""
+    from lexiloom.operators import building as B
+
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "c"), (1, 1, "b"), (1, 3, "d"), (2, 0, "e")], "g int, seq long, text string")
+    ranges = spark.createDataFrame([(10, 1, 0, 1), (11, 1, 0, 1), (12, 1, 2, 4), (13, 2, 1, 3), (14, None, 0, 1), (15, 2, 0, 0)], "range_id int, g int, lo long, hi long")
+    df = B.concatenate_ranges(ranges, rows, "g")
+    assert {r["range_id"]: (r["body"], r["n"]) for r in df.collect()} == {10: ("a b c", 3), 11: ("a b c", 3), 12: ("d", 1), 13: ("", 0), 14: ("", 0), 15: ("e", 1)}
+    gathers = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x]
+    assert gathers and not any("range_id" in x for x in gathers)
