@@ -496,3 +496,14 @@ def test_a_frequent_name_is_joined_by_several_tasks(spark):
     assert [got[k, s] for k in (0, 1, 2) for s in ("s1", "s2", "s3")] == ["NO_SPAN"] * 3 + ["MATCH", "MISMATCH", "MISMATCH"] + ["MISMATCH", "MATCH", "MISMATCH"]
     assert [tuple(r) for r in counts.collect()] == [("w", 64, 64, 192)]
     assert joined.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_gold_tokens_of_verses_are_joined_by_several_tasks(spark):
+    from lexiloom.operators import annotation
+
+    units = spark.createDataFrame([(k, "w", f"w:1.{k}-{k + 1}", f"1.{k}-{k + 1}") for k in range(8)] + [(9, "w", "w\tx", "1.3")], "unit int, work string, group_id string, passage string").coalesce(1)
+    tokens = spark.createDataFrame([("w", "1", v, 5, "a\tb", "a", None, "Nom", "", None) for v in range(8)], "work string, chapter string, verse int, idx int, form string, lemma string, upos string, case string, gender string, number string").coalesce(1)
+    rows = annotation.gold_rows(annotation.gold_tokens(units, tokens), "unit")
+    got = sorted(map(tuple, rows.collect()))
+    assert got == sorted([(k, f"w:1.{k}-{k + 1}\t{v}\t5\ta b\ta\t\tNom\t\t") for k in range(8) for v in (k, k + 1) if v < 8] + [(9, "w x\t3\t5\ta b\ta\t\tNom\t\t")])
+    assert rows.select("row", F.spark_partition_id().alias("p")).select("p").distinct().count() > 1
